@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP4_SQL, op4_chat_formatting
+from .decontam import op7_decontamination
+from .licenses import op8_license_scan
+from .neardup import op3_near_duplicates
 from .packing import op5_best_fit_packing
+from .pages import op1_html_extraction
 from .pii import OP2_SQL, op2_personal_data
+from .pseudo import op6_lm_scoring
+from .quality import op9_quality_rules
 from .sstable import op10_token_shards
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_personal_data, op4_chat_formatting, op5_best_fit_packing, op10_token_shards]
+    found = [op1_html_extraction, op2_personal_data, op3_near_duplicates, op4_chat_formatting, op5_best_fit_packing, op6_lm_scoring, op7_decontamination, op8_license_scan, op9_quality_rules, op10_token_shards]
     return {f.__name__: f for f in found}
 
 
