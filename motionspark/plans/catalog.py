@@ -1,17 +1,17 @@
-"""All registered queries of the reference's own operators, with their SQL."""
+"""All registered queries of the movement operators, with their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import people, tracks
+from .registry import QUERIES, SQL, Query
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "proximity_intervals"
+_MODULES = (people, tracks)  # importing them registers their queries
 
-FLAGSHIP = ""
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
