@@ -11,8 +11,10 @@ if the Jaccard similarity of their sets is at least 0.8; classes are the connect
 3. *Copies.* Documents with the same bag of runs are one node of the graph, its least id, before any pair is made.
 4. *Links.* In each bucket every member is compared exactly with one centre, not with every other member. The
    links' components are found, and buckets that still hold several components take another centre, for
-   pairs across components only. In the end all pairs across components that share a bucket are compared,
-   so no link between components that any bucket shows is lost; pairs within a component are never made.
+   pairs across components only. The first round looks at one band, later ones at more, so a large group is
+   one component before most of its buckets are looked at. In the end all pairs across components that share
+   a bucket are compared, by sketches within the join and then exactly, so no link between components that
+   any bucket shows is lost; pairs within a component are never made.
 
 Components are found by contracting stars: each round connects every node's neighbours to the least of them.
 
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import saved, small_batches
@@ -37,7 +39,12 @@ RUN = 5
 BANDS = 24
 ROWS = 5
 TENTHS = 8  # similarity in tenths
-STAR_ROUNDS = 3
+#: Bands whose buckets take part in each round of stars.
+STAR_BANDS = (1, 6, 24)
+#: Hashes of a set that are compared before its whole, and members of a bucket that one task compares with all others.
+SKETCH = 256
+BLOCK = 512
+PLACES = 512
 _STEP = U64(0x9E3779B97F4A7C15)
 _SALT = U64(0xD6E8FEB86659FD93)
 #: Cumulative Poisson(1) probabilities, scaled to 32 bits.
@@ -138,7 +145,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def run_sets(docs: DataFrame) -> DataFrame:
-    """node (the id) and runs: the distinct runs' hashes, 32 bits each."""
+    """node (the id), runs (the distinct runs' hashes, 32 bits each) and parity: per place, given by a hash's
+    last bits, whether an odd number of the hashes fall there, 64 places a number."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +156,11 @@ def run_sets(docs: DataFrame) -> DataFrame:
                 grams, row = shingles(hashes(part, found), found, RUN)
                 distinct = np.unique((row.astype(np.uint64) << U64(32)) | (grams >> U64(32)))
                 sizes = np.bincount((distinct >> U64(32)).astype(np.int64), minlength=part.rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(part.first, part.rows), _lists(distinct.astype(np.uint32).view(np.int32), sizes, pa.int32())], ["node", "runs"])
+                place = (distinct >> U64(32)).astype(np.int64) * PLACES + (distinct & U64(PLACES - 1)).astype(np.int64)
+                odd = np.packbits((np.bincount(place, minlength=part.rows * PLACES) & 1).astype(bool)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(part.first, part.rows), _lists(distinct.astype(np.uint32).view(np.int32), sizes, pa.int32()), _lists(odd, np.full(part.rows, PLACES // 64), pa.int64())], ["node", "runs", "parity"])
 
-    return docs.mapInArrow(gather, "node long, runs array<int>")
+    return docs.mapInArrow(gather, "node long, runs array<int>, parity array<long>")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,24 +190,52 @@ def _pair(a: str, b: str):
     return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
 
 
-def links(members: DataFrame, sets: DataFrame, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """The labels of the components over ``members`` (band, node), as :func:`components` gives them."""
+def _may_be_near(x: str, y: str) -> Column:
+    """Whether two rows of sketches may stand for near sets; exact for sets of fewer than SKETCH hashes.
+
+    Sets that differ in d hashes differ in d places of their parities at most, so that quick test loses nothing.
+    """
+    total = F.col(f"{x}.size") + F.col(f"{y}.size")
+    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PLACES // 64)), F.lit(0))
+    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    common, na, nb = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
+    exact = common * (10 + TENTHS) >= (na + nb) * TENTHS
+    # of near sets' sketches 0.8 agree at least; a tenth less is four standard deviations
+    return (differ * (10 + TENTHS) <= total * (10 - TENTHS)) & F.when((na < SKETCH) & (nb < SKETCH), exact).otherwise(common * 10 >= F.least(na, nb) * (TENTHS - 1))
+
+
+def across(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different labels that share a band and whose sketches may be near.
+
+    A large bucket is dealt in blocks: each block of one side meets the whole other side. The sketches are
+    compared within the join, so pairs that are not near are never rows.
+    """
+    size = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    sketches = sets.select("node", F.struct(F.size("runs").alias("size"), "parity", F.slice("runs", 1, SKETCH).alias("sketch")).alias("set"))
+    rest = saved(named.join(size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(sketches, "node"), "mixed")
+    left = rest.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("set").alias("set_x"))
+    right = rest.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("set").alias("set_y"))
+    near = left.join(right, ["band", "block"]).filter((F.col("label_x") < F.col("label_y")) & _may_be_near("set_x", "set_y"))
+    return near.select(*_pair("x", "y"))
+
+
+def links(members: DataFrame, sets: DataFrame, star_bands: tuple[int, ...] = STAR_BANDS) -> DataFrame:
+    """The labels of the components over ``members`` (nth, band, node), as :func:`components` gives them."""
+    rounds = len(star_bands)
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(rounds + 1):
+        some = members.filter(F.col("nth") < star_bands[turn]) if turn < rounds else members
         if labels is None:
-            named = members.withColumn("label", F.col("node"))
+            named = some.select("band", "node", F.col("node").alias("label"))
         else:
-            named = members.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+            named = some.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         centre = F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
         mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("centre")).filter("low <> high")
         if turn < rounds:
             pairs = named.join(mixed.select("band", F.col("centre.node").alias("c"), F.col("centre.label").alias("c_label")), "band").filter("label <> c_label").select(*_pair("node", "c"))
         else:
-            rest = saved(named.join(mixed.select("band"), "band", "left_semi"), "mixed")
-            sides = rest.select("band", "label").distinct()
-            across = sides.join(sides.select("band", F.col("label").alias("label_b")), "band").filter("label < label_b")
-            pairs = across.join(rest.withColumnRenamed("node", "x"), ["band", "label"]).join(rest.select("band", F.col("label").alias("label_b"), F.col("node").alias("y")), ["band", "label_b"]).select(*_pair("x", "y"))
+            pairs = across(named, sets)
         new = saved(linked(pairs.distinct(), sets), f"links-{turn}")
         found = new if found is None else found.unionAll(new)
         if turn and new.isEmpty():
@@ -213,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = saved(signatures(docs), "signatures")
     some = signed.filter("doc_id IS NOT NULL")
     nodes = saved(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
     shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band")
     members = saved(banded.join(shared, "band"), "members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
