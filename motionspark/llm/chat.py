@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "␛"
-#: Control strings of common chat templates (fixed values); "<|" begins all of this one's own.
-CONTROL = ("<|", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
+#: Control strings of common chat templates (fixed values); "<|" begins and "|>" ends all of this one's own.
+CONTROL = ("<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 END = "\n<|end|>\n"
 
 #: What a record may hold, over all layouts.

@@ -71,11 +71,11 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
             for part in slices(batch.column("text")):
                 found = words(part, ALNUM)
                 h, sizes = hashes(part, found), found.per_row
-                for mask in (*MASKS, *map(_whole, range(SHORTEST, SPAN))):
+                for mask, whole in (*((m, False) for m in MASKS), *((_whole(n), True) for n in range(SHORTEST, SPAN))):
                     seeds, at = seed_hashes(h, found.row, mask)
                     row = found.row[at]
-                    own = sizes[row] >= SPAN if mask in MASKS else sizes[row] == len(mask)
-                    size = 0 if mask in MASKS else len(mask)
+                    own = sizes[row] == len(mask) if whole else sizes[row] >= SPAN
+                    size = len(mask) if whole else 0
                     yield pa.RecordBatch.from_arrays([pa.array(seeds[own].view(np.int64)), pa.array(ids[part.first + row[own]]), pa.array((at - found.first[row])[own].astype(np.int32)), pa.array(np.full(own.sum(), size, np.int32))], schema=_SEED)
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL").mapInArrow(make, "hash long, item_id long, at int, size int")
