@@ -82,7 +82,7 @@ FAMILIES = {
     "upl": ("universal", r"universal permissive", ("1.0",)),
     "vim": ("vim", r"vim", ("",)),
     "sleepycat": ("sleepycat", r"sleepycat", ("",)),
-    "ripe": ("unicode", r"unicode", ("3.0",)),
+    "unicode": ("unicode", r"unicode", ("3.0",)),
     "cecill": ("cecill", r"cecill", ("1.0", "2.0", "2.1")),
     "nasa": ("nasa", r"nasa open source(?: agreement)?", ("1.3",)),
     "qpl": ("q", r"q public", ("1.0",)),
@@ -132,8 +132,9 @@ def rules() -> tuple[Rule, ...]:
     """All rules, those of the highest priority first."""
     out: list[Rule] = []
     add = lambda label, keyword, pattern, priority: out.append(Rule(label, keyword, re.compile(pattern), priority))
-    tail = r"(?: public)?(?: licen[sc]es?)?"
     for family, (keyword, name, versions) in FAMILIES.items():
+        # a name that holds no word for a license needs one after it: "python 3" is none
+        tail = r"(?: public)?(?: licen[sc]es?)?" if "licen" in name else r"(?: public)? licen[sc]es?"
         for v in versions:
             label, first = (f"{family}-{v}" if v else family), re.split(r"[-.]", family)[0]
             if v:
@@ -185,7 +186,7 @@ def detections(text: str, numbers: list[int]) -> list[tuple[int, int, int]]:
         if not any(o[1] >= d[1] and priority(o[2]) >= priority(d[2]) for o in open_):
             kept.append(d)
         open_.append(d)
-    return sorted(k for k in kept if not any(o[0] <= k[0] and k[1] <= o[1] and priority(o[2]) > priority(k[2]) for o in kept if o != k)) if len(kept) < 200 else kept
+    return kept
 
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))

@@ -330,6 +330,10 @@ def test_contained_detections_give_way():
     text = "licensed under the apache license, version 2.0 and the gnu general public license v3.0"
     got = licenses.detections(text, list(range(len(licenses.rules()))))
     assert {licenses.rules()[n].label for _, _, n in got} == {"apache-2.0", "gpl-3.0"}
+    many = " ".join([text] * 150)
+    assert len(licenses.detections(many, list(range(len(licenses.rules()))))) == 150 * len(got)
+    plain = "an artistic license, elastic boost software for python 3, php 3.0, an open database and unicode 3.0"
+    assert {licenses.rules()[n].label for _, _, n in licenses.detections(plain, list(range(len(licenses.rules()))))} == {"artistic"}
     assert len(licenses.rules()) > 200
 
 
