@@ -139,7 +139,9 @@ def rules() -> tuple[Rule, ...]:
             label, first = (f"{family}-{v}" if v else family), re.split(r"[-.]", family)[0]
             if v:
                 add(label, keyword, rf"\b(?:{name}){tail},? ?(?:\(?[a-z0-9-]+\)?,? )?(?:version |v\.? ?)?{_version(v)}(?![0-9]|\.[0-9])", 60)
-                add(label, first, rf"\b{re.escape(family)}[- ]?v?{_version(v)}(?:-only|-or-later|\+)?(?![0-9]|\.[0-9])", 70)
+                # where the family is called as a program is, "php 3.0" is that program; the license is php-3.0
+                joint = "-" if "licen" not in name and re.fullmatch(name, family) else "[- ]?"
+                add(label, first, rf"\b{re.escape(family)}{joint}v?{_version(v)}(?:-only|-or-later|\+)?(?![0-9]|\.[0-9])", 70)
                 add(label, "spdx", rf"spdx-license-identifier:\s*{re.escape(family)}-{re.escape(v)}(?:-only|-or-later|\+)?(?![0-9.])", 90)
                 if family in HOSTS:
                     add(label, keyword, HOSTS[family] + _version(v) + r"(?![0-9])", 80)
