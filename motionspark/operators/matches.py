@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .windows import gap_merge
+
 
 def cap2_seeds(spans: DataFrame) -> DataFrame:
     """Nodes that exactly two persons pass through, and the frames both are in."""
@@ -19,6 +21,15 @@ def buffered(intervals: DataFrame, buffer: int, first: int, last: int) -> DataFr
     return intervals.withColumn("partial_start", F.col("start_frame") - buffer < first).withColumn("partial_end", F.col("end_frame") + buffer > last).withColumn("start_frame", F.greatest(F.col("start_frame") - buffer, F.lit(first))).withColumn("end_frame", F.least(F.col("end_frame") + buffer, F.lit(last)))
 
 
+def union_buffered(intervals: DataFrame, seeds: DataFrame, keys: list[str], buffer: int, gap: int, session: tuple[int, int]) -> DataFrame:
+    """Intervals widened by a buffer, and seeds as they are, merged over gaps; what reaches into the session is cut to it, the rest goes."""
+    first, last = session
+    columns = [*keys, "start_frame", "end_frame"]
+    inside = (F.col("start_frame") <= last) & (F.col("end_frame") >= first)
+    rows = buffered(intervals.filter(inside), buffer, first, last).select(*columns).unionByName(buffered(seeds.filter(inside), 0, first, last).select(*columns))
+    return gap_merge(rows, keys, gap)
+
+
 def snap(intervals: DataFrame, tones: DataFrame, keys: list[str], id_col: str, within: int) -> DataFrame:
     """The tone nearest to each interval's end, of equals the earliest, if one lies within a distance."""
     d = F.abs(F.col("end_frame") - F.col("tone_frame"))

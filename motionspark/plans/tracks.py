@@ -250,6 +250,27 @@ def promotion_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.promote(spark.range(1, 3).select(F.col("id").alias("node")), e)
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (part, supplier) edge of the table."""
+    end = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    return table(spark, sf_dir, "lineitem").select(end("p", "l_partkey").alias("src"), end("s", "l_suppkey").alias("dst")).distinct()
+
+
+@query()
+def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``components`` over every edge; no SQL, as the recursive query makes a row a node and reachable node."""
+    return graph.components(links(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_partkey + l_suppkey % 7 + 1 AS dst FROM lineitem),
+r AS (SELECT 1::BIGINT AS node, 0 AS round UNION SELECT 2, 0 UNION SELECT e.dst, r.round + 1 FROM r JOIN e ON e.src = r.node WHERE r.round < 25)
+SELECT node, min(round) AS round FROM r GROUP BY node""")
+def promotion_fixpoint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``promotion_fixpoint`` over every edge."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey") % 7 + 1).alias("dst")).distinct()
+    return graph.promote(spark.range(1, 3).select(F.col("id").alias("node")), e)
+
+
 @query()
 def solve_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of each track as nodes, the cheapest chains through them as persons; a track is one problem."""
@@ -324,6 +345,16 @@ def union_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.gap_merge(matches.buffered(s, 7, 100, 2000).select("a_id", "b_id", "start_frame", "end_frame").unionByName(seeds), ["a_id", "b_id"], 30)
 
 
+@query(f"""WITH {SPANS}, b AS (SELECT min(start_frame) AS first_, max(end_frame) AS last_ FROM spans),
+w AS (SELECT a_id, b_id, greatest(start_frame - 7, first_) AS start_frame, least(end_frame + 7, last_) AS end_frame FROM spans, b
+  UNION ALL SELECT a_id, b_id, start_frame, least(start_frame + 3, last_) FROM spans, b){_MERGED.format(rows='w')}""")
+def union_buffered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``union_buffered`` over every span; the session runs from the first span's start to the last one's end."""
+    s = spans(spark, sf_dir).select("a_id", "b_id", "start_frame", "end_frame")
+    ends = s.agg(F.min("start_frame"), F.max("end_frame")).first()
+    return matches.union_buffered(s, s.withColumn("end_frame", F.col("start_frame") + 3), ["a_id", "b_id"], 7, 30, (ends[0] or 0, ends[1] or 0))
+
+
 @query(f"""WITH {RUNS}, t AS (SELECT DISTINCT camera_id, frame_index AS tone_frame FROM frames WHERE x_m > 450),
 iv AS (SELECT run_id, camera_id, max(frame_index) AS end_frame FROM runs GROUP BY 1, 2)
 SELECT run_id, tone_frame AS snapped_frame FROM iv JOIN t USING (camera_id) WHERE abs(end_frame - tone_frame) <= 12
