@@ -1,9 +1,9 @@
 """Operator 8: license scans by ordered signature rules.
 
-Rules are regular expressions over the text with A-Z lowered, each with a label, a priority and a keyword
-without which it cannot match. They are made from tables of license families (names, versions, identifiers,
-addresses). A document that holds no cue word is not scanned, and of the others only the rules whose
-keyword the document holds. Of overlapping detections the one of the higher priority stays: a detection
+Rules are regular expressions over the text with A-Z lowered, each with a label and a priority. They are made
+from tables of license families (names, versions, identifiers, addresses); a space in them stands for a run of
+white space. The character strings that every match of a rule holds are read off its pattern, and a document is
+scanned by just those rules all of whose strings it holds, so nothing that matches is left out. Of overlapping detections the one of the higher priority stays: a detection
 contained in another of the same or a higher priority is dropped (equal spans: the first rule's stays).
 
 Base labels come from phrases of consecutive words and always stay.
@@ -18,6 +18,8 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from re import _constants as C
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -31,93 +33,90 @@ from .words import BYTE, Slice, Words, hash_word, hashes, slices, words
 WORD = (BYTE >= 128) | ((BYTE >= 48) & (BYTE <= 57)) | ((BYTE >= 97) & (BYTE <= 122)) | ((BYTE >= 65) & (BYTE <= 90))
 PHRASES = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
 
-# License families. Label: (keyword, name pattern, versions; "" where a license has none).
+# License families. Label: (name pattern, versions; "" where a license has none).
 FAMILIES = {
-    "apache": ("apache", r"apache(?: software)?(?: license)?", ("1.0", "1.1", "2.0")),
-    "mit": ("mit", r"mit", ("",)),
-    "mit-0": ("mit", r"mit no attribution", ("",)),
-    "gpl": ("gnu", r"gnu general public licen[sc]e|gnu gpl", ("1.0", "2.0", "3.0")),
-    "lgpl": ("gnu", r"gnu (?:lesser|library) general public licen[sc]e|gnu lgpl", ("2.0", "2.1", "3.0")),
-    "agpl": ("gnu", r"gnu affero general public licen[sc]e|gnu agpl", ("1.0", "3.0")),
-    "gfdl": ("gnu", r"gnu free documentation licen[sc]e", ("1.1", "1.2", "1.3")),
-    "mpl": ("mozilla", r"mozilla public licen[sc]e", ("1.0", "1.1", "2.0")),
-    "epl": ("eclipse", r"eclipse public licen[sc]e", ("1.0", "2.0")),
-    "edl": ("eclipse", r"eclipse distribution licen[sc]e", ("1.0",)),
-    "cddl": ("distribution", r"common development and distribution licen[sc]e", ("1.0", "1.1")),
-    "cpl": ("common", r"common public licen[sc]e", ("1.0",)),
-    "ipl": ("ibm", r"ibm public licen[sc]e", ("1.0",)),
-    "eupl": ("european", r"european union public licen[sc]e", ("1.0", "1.1", "1.2")),
-    "osl": ("open", r"open software licen[sc]e", ("1.0", "2.0", "2.1", "3.0")),
-    "afl": ("academic", r"academic free licen[sc]e", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    "artistic": ("artistic", r"artistic", ("1.0", "2.0")),
-    "bsl": ("boost", r"boost software", ("1.0",)),
-    "busl": ("business", r"business source", ("1.0", "1.1")),
-    "sspl": ("server", r"server side public", ("1.0",)),
-    "elastic": ("elastic", r"elastic", ("1.0", "2.0")),
-    "zlib": ("zlib", r"zlib(?:/libpng)?", ("",)),
-    "libpng": ("libpng", r"libpng", ("",)),
-    "isc": ("isc", r"isc", ("",)),
-    "unlicense": ("unlicense", r"(?:the )?unlicense", ("",)),
-    "wtfpl": ("wtfpl", r"wtfpl", ("", "2.0")),
-    "psf": ("python", r"python(?: software foundation)?", ("2.0",)),
-    "php": ("php", r"php", ("3.0", "3.01")),
-    "ruby": ("ruby", r"ruby", ("",)),
-    "perl": ("perl", r"perl", ("",)),
-    "postgresql": ("postgresql", r"postgresql", ("",)),
-    "openssl": ("openssl", r"openssl", ("",)),
-    "ncsa": ("ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", ("",)),
-    "w3c": ("w3c", r"w3c(?: software)?", ("",)),
-    "ms-pl": ("microsoft", r"microsoft public", ("",)),
-    "ms-rl": ("microsoft", r"microsoft reciprocal", ("",)),
-    "ofl": ("font", r"(?:sil )?open font", ("1.0", "1.1")),
-    "odbl": ("database", r"open (?:data(?:base)?|data commons open database)", ("1.0",)),
-    "odc-by": ("attribution", r"open data commons attribution", ("1.0",)),
-    "pddl": ("domain", r"public domain dedication and", ("1.0",)),
-    "openrail": ("openrail", r"openrail(?:-m)?", ("",)),
-    "bsd-2-clause": ("bsd", r"(?:2|two)-clause bsd|simplified bsd|freebsd", ("",)),
-    "bsd-3-clause": ("bsd", r"(?:3|three)-clause bsd|(?:new|modified|revised) bsd", ("",)),
-    "bsd-4-clause": ("bsd", r"(?:4|four)-clause bsd|original bsd", ("",)),
-    "bsd": ("bsd", r"bsd", ("",)),
-    "ecl": ("educational", r"educational community", ("1.0", "2.0")),
-    "upl": ("universal", r"universal permissive", ("1.0",)),
-    "vim": ("vim", r"vim", ("",)),
-    "sleepycat": ("sleepycat", r"sleepycat", ("",)),
-    "unicode": ("unicode", r"unicode", ("3.0",)),
-    "cecill": ("cecill", r"cecill", ("1.0", "2.0", "2.1")),
-    "nasa": ("nasa", r"nasa open source(?: agreement)?", ("1.3",)),
-    "qpl": ("q", r"q public", ("1.0",)),
-    "lppl": ("latex", r"latex project public", ("1.0", "1.1", "1.2", "1.3")),
+    "apache": (r"apache(?: software)?(?: license)?", ("1.0", "1.1", "2.0")),
+    "mit": (r"mit", ("",)),
+    "mit-0": (r"mit no attribution", ("",)),
+    "gpl": (r"gnu general public licen[sc]e|gnu gpl", ("1.0", "2.0", "3.0")),
+    "lgpl": (r"gnu (?:lesser|library) general public licen[sc]e|gnu lgpl", ("2.0", "2.1", "3.0")),
+    "agpl": (r"gnu affero general public licen[sc]e|gnu agpl", ("1.0", "3.0")),
+    "gfdl": (r"gnu free documentation licen[sc]e", ("1.1", "1.2", "1.3")),
+    "mpl": (r"mozilla public licen[sc]e", ("1.0", "1.1", "2.0")),
+    "epl": (r"eclipse public licen[sc]e", ("1.0", "2.0")),
+    "edl": (r"eclipse distribution licen[sc]e", ("1.0",)),
+    "cddl": (r"common development and distribution licen[sc]e", ("1.0", "1.1")),
+    "cpl": (r"common public licen[sc]e", ("1.0",)),
+    "ipl": (r"ibm public licen[sc]e", ("1.0",)),
+    "eupl": (r"european union public licen[sc]e", ("1.0", "1.1", "1.2")),
+    "osl": (r"open software licen[sc]e", ("1.0", "2.0", "2.1", "3.0")),
+    "afl": (r"academic free licen[sc]e", ("1.1", "1.2", "2.0", "2.1", "3.0")),
+    "artistic": (r"artistic", ("1.0", "2.0")),
+    "bsl": (r"boost software", ("1.0",)),
+    "busl": (r"business source", ("1.0", "1.1")),
+    "sspl": (r"server side public", ("1.0",)),
+    "elastic": (r"elastic", ("1.0", "2.0")),
+    "zlib": (r"zlib(?:/libpng)?", ("",)),
+    "libpng": (r"libpng", ("",)),
+    "isc": (r"isc", ("",)),
+    "unlicense": (r"(?:the )?unlicense", ("",)),
+    "wtfpl": (r"wtfpl", ("", "2.0")),
+    "psf": (r"python(?: software foundation)?", ("2.0",)),
+    "php": (r"php", ("3.0", "3.01")),
+    "ruby": (r"ruby", ("",)),
+    "perl": (r"perl", ("",)),
+    "postgresql": (r"postgresql", ("",)),
+    "openssl": (r"openssl", ("",)),
+    "ncsa": (r"(?:university of illinois/)?ncsa(?: open source)?", ("",)),
+    "w3c": (r"w3c(?: software)?", ("",)),
+    "ms-pl": (r"microsoft public", ("",)),
+    "ms-rl": (r"microsoft reciprocal", ("",)),
+    "ofl": (r"(?:sil )?open font", ("1.0", "1.1")),
+    "odbl": (r"open (?:data(?:base)?|data commons open database)", ("1.0",)),
+    "odc-by": (r"open data commons attribution", ("1.0",)),
+    "pddl": (r"public domain dedication and", ("1.0",)),
+    "openrail": (r"openrail(?:-m)?", ("",)),
+    "bsd-2-clause": (r"(?:2|two)-clause bsd|simplified bsd|freebsd", ("",)),
+    "bsd-3-clause": (r"(?:3|three)-clause bsd|(?:new|modified|revised) bsd", ("",)),
+    "bsd-4-clause": (r"(?:4|four)-clause bsd|original bsd", ("",)),
+    "bsd": (r"bsd", ("",)),
+    "ecl": (r"educational community", ("1.0", "2.0")),
+    "upl": (r"universal permissive", ("1.0",)),
+    "vim": (r"vim", ("",)),
+    "sleepycat": (r"sleepycat", ("",)),
+    "unicode": (r"unicode", ("3.0",)),
+    "cecill": (r"cecill", ("1.0", "2.0", "2.1")),
+    "nasa": (r"nasa open source(?: agreement)?", ("1.3",)),
+    "qpl": (r"q public", ("1.0",)),
+    "lppl": (r"latex project public", ("1.0", "1.1", "1.2", "1.3")),
 }
 #: Names in addresses of license texts.
 HOSTS = {"apache": r"apache\.org/licenses/license-", "gpl": r"gnu\.org/licenses/gpl-", "lgpl": r"gnu\.org/licenses/lgpl-", "agpl": r"gnu\.org/licenses/agpl-", "gfdl": r"gnu\.org/licenses/fdl-", "mpl": r"mozilla\.org/mpl/", "epl": r"eclipse\.org/(?:legal/epl-|org/documents/epl-)"}
 #: Creative Commons: label part, words.
 CC_KINDS = {"by": "attribution", "by-sa": "attribution[- ]share[- ]?alike", "by-nc": "attribution[- ]non-?commercial", "by-nd": "attribution[- ]no[- ]?deriv(?:ative|ative work)s?", "by-nc-sa": "attribution[- ]non-?commercial[- ]share[- ]?alike", "by-nc-nd": "attribution[- ]non-?commercial[- ]no[- ]?deriv(?:ative|ative work)s?"}
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Rules of their own: label, keyword, pattern, priority.
+#: Rules of their own: label, pattern, priority.
 OTHERS = (
-    ("spdx-tag", "spdx", r"spdx-license-identifier:\s*[a-z0-9.+-]+", 10),
-    ("public-domain", "domain", r"\b(?:in(?:to)? the|dedicated to the) public domain\b", 30),
-    ("cc0-1.0", "cc0", r"\bcc0(?:[- ]1\.0)?\b", 60),
-    ("cc0-1.0", "zero", r"creativecommons\.org/publicdomain/zero/1\.0", 70),
-    ("reserved", "rights", r"\ball rights reserved\b", 20),
-    ("reserved", "rechte", r"\balle rechte vorbehalten\b", 20),
-    ("reserved", "droits", r"\btous droits r.serv.s\b", 20),
-    ("reserved", "derechos", r"\btodos los derechos reservados\b", 20),
-    ("copyright", "copyright", r"\bcopyright (?:\(c\) |© )?(?:[0-9]{4}(?:[-, ]+[0-9]{4})*)", 15),
-    ("proprietary", "proprietary", r"\bproprietary (?:and confidential|license|software)\b", 25),
-    ("mit", "permission", r"permission is hereby granted, free of charge, to any person obtaining a copy", 65),
-    ("isc", "permission", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 65),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification", 55),
-    ("apache-2.0", "apache", r"licensed under the apache license, version 2\.0", 80),
+    ("spdx-tag", r"spdx-license-identifier:\s*[a-z0-9.+-]+", 10),
+    ("public-domain", r"\b(?:in(?:to)? the|dedicated to the) public domain\b", 30),
+    ("cc0-1.0", r"\bcc0(?:[- ]1\.0)?\b", 60),
+    ("cc0-1.0", r"creativecommons\.org/publicdomain/zero/1\.0", 70),
+    ("reserved", r"\ball rights reserved\b", 20),
+    ("reserved", r"\balle rechte vorbehalten\b", 20),
+    ("reserved", r"\btous droits r.serv.s\b", 20),
+    ("reserved", r"\btodos los derechos reservados\b", 20),
+    ("copyright", r"\bcopyright (?:\(c\) |© )?(?:[0-9]{4}(?:[-, ]+[0-9]{4})*)", 15),
+    ("proprietary", r"\bproprietary (?:and confidential|license|software)\b", 25),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", 65),
+    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 65),
+    ("bsd", r"redistribution and use in source and binary forms, with or without modification", 55),
+    ("apache-2.0", r"licensed under the apache license, version 2\.0", 80),
 )
-#: A document without any of these words is not scanned.
-CUES = ("license", "licence", "licensed", "licenced", "licenses", "licensing", "spdx", "copyright", "copyleft", "rights", "rechte", "droits", "derechos", "domain", "proprietary", "permission", "redistribution", "cc", "cc0", "creativecommons", "commons", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "bsd", "mit", "apache", "unlicense", "wtfpl", "openrail", "mpl", "epl", "zlib", "isc")
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str
     pattern: re.Pattern
     priority: int
 
@@ -127,52 +126,113 @@ def _version(v: str) -> str:
     return re.escape(v[:-2]) + r"(?:\.0)?" if v.endswith(".0") else re.escape(v)
 
 
+def _spaced(pattern: str) -> str:
+    """A space of the tables is a run of white space, a line's end included."""
+    return pattern.replace("[- ]", r"(?:-|\s+)").replace("[-, ]", r"[-,\s]").replace(" ?", r"\s*").replace(" ", r"\s+")
+
+
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules, those of the highest priority first."""
     out: list[Rule] = []
-    add = lambda label, keyword, pattern, priority: out.append(Rule(label, keyword, re.compile(pattern), priority))
-    for family, (keyword, name, versions) in FAMILIES.items():
+    add = lambda label, pattern, priority: out.append(Rule(label, re.compile(_spaced(pattern)), priority))
+    for family, (name, versions) in FAMILIES.items():
         # a name that holds no word for a license needs one after it: "python 3" is none
         tail = r"(?: public)?(?: licen[sc]es?)?" if "licen" in name else r"(?: public)? licen[sc]es?"
         for v in versions:
-            label, first = (f"{family}-{v}" if v else family), re.split(r"[-.]", family)[0]
+            label = f"{family}-{v}" if v else family
             if v:
-                add(label, keyword, rf"\b(?:{name}){tail},? ?(?:\(?[a-z0-9-]+\)?,? )?(?:version |v\.? ?)?{_version(v)}(?![0-9]|\.[0-9])", 60)
+                add(label, rf"\b(?:{name}){tail},? ?(?:\(?[a-z0-9-]+\)?,? )?(?:version |v\.? ?)?{_version(v)}(?![0-9]|\.[0-9])", 60)
                 # where the family is called as a program is, "php 3.0" is that program; the license is php-3.0
                 joint = "-" if "licen" not in name and re.fullmatch(name, family) else "[- ]?"
-                add(label, first, rf"\b{re.escape(family)}{joint}v?{_version(v)}(?:-only|-or-later|\+)?(?![0-9]|\.[0-9])", 70)
-                add(label, "spdx", rf"spdx-license-identifier:\s*{re.escape(family)}-{re.escape(v)}(?:-only|-or-later|\+)?(?![0-9.])", 90)
+                add(label, rf"\b{re.escape(family)}{joint}v?{_version(v)}(?:-only|-or-later|\+)?(?![0-9]|\.[0-9])", 70)
+                add(label, rf"spdx-license-identifier:\s*{re.escape(family)}-{re.escape(v)}(?:-only|-or-later|\+)?(?![0-9.])", 90)
                 if family in HOSTS:
-                    add(label, keyword, HOSTS[family] + _version(v) + r"(?![0-9])", 80)
+                    add(label, HOSTS[family] + _version(v) + r"(?![0-9])", 80)
                 if family in ("gpl", "lgpl", "agpl"):
-                    add(label, f"{family}v{v[0]}", rf"\b{family}v{_version(v)}\b", 70)
+                    add(label, rf"\b{family}v{_version(v)}\b", 70)
             else:
-                add(label, keyword, rf"\b(?:{name})[- ](?:style )?(?:public )?licen[sc]e\b", 50)
-                add(label, first, rf"\blicen[sc]ed? (?:under )?(?:the )?(?:terms of )?(?:the )?{re.escape(family)}\b", 55)
-                add(label, "spdx", rf"spdx-license-identifier:\s*{re.escape(family)}(?![a-z0-9.-])", 90)
+                add(label, rf"\b(?:{name})[- ](?:style )?(?:public )?licen[sc]e\b", 50)
+                add(label, rf"\blicen[sc]ed? (?:under )?(?:the )?(?:terms of )?(?:the )?{re.escape(family)}\b", 55)
+                add(label, rf"spdx-license-identifier:\s*{re.escape(family)}(?![a-z0-9.-])", 90)
         if versions != ("",):
-            add(family, keyword, rf"\b(?:{name}){tail}\b", 40)
+            add(family, rf"\b(?:{name}){tail}\b", 40)
     for kind, phrase in CC_KINDS.items():
         for v in CC_VERSIONS:
             label = f"cc-{kind}-{v}"
-            add(label, "cc", rf"\bcc[- ]{kind}[- ]{re.escape(v)}(?![0-9])", 70)
-            add(label, "creative", rf"\bcreative commons {phrase} {_version(v)}(?![0-9])", 70)
-            add(label, "creativecommons", rf"creativecommons\.org/licenses/{kind}/{re.escape(v)}", 80)
-        add(f"cc-{kind}", "cc", rf"\bcc[- ]{kind}\b(?!-)", 40)
-        add(f"cc-{kind}", "creative", rf"\bcreative commons {phrase}\b", 45)
-    for label, keyword, pattern, priority in OTHERS:
-        add(label, keyword, pattern, priority)
+            add(label, rf"\bcc[- ]{kind}[- ]{re.escape(v)}(?![0-9])", 70)
+            add(label, rf"\bcreative commons {phrase} {_version(v)}(?![0-9])", 70)
+            add(label, rf"creativecommons\.org/licenses/{kind}/{re.escape(v)}", 80)
+        add(f"cc-{kind}", rf"\bcc[- ]{kind}\b(?!-)", 40)
+        add(f"cc-{kind}", rf"\bcreative commons {phrase}\b", 45)
+    for label, pattern, priority in OTHERS:
+        add(label, pattern, priority)
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+#: A string in lowered UTF-8, and whether it stands at a word's start.
+Need = tuple[bytes, bool]
+
+
+def needs(pattern: str) -> list[frozenset[Need]]:
+    """What every match of a pattern holds: at least one string of each set."""
+
+    def walk(tree, word: bool) -> list[frozenset[Need]]:
+        out, run = [], ""
+        starts = word
+        for op, arg in [*tree, (None, None)]:
+            if op is C.LITERAL:
+                run, starts, word = run + chr(arg), starts if run else word, False
+                continue
+            if len(run) > 1:
+                out.append(frozenset({(run.encode(), starts)}))
+            run = ""
+            if op is C.SUBPATTERN:
+                out += walk(arg[3], word)
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT) and arg[0]:
+                out += walk(arg[2], word)
+            elif op is C.BRANCH:
+                ways = [walk(x, word) for x in arg[1]]
+                if all(ways):  # a branch without a string asks for nothing
+                    out.append(frozenset().union(*(max(w, key=lambda x: min(len(n) for n, _ in x)) for w in ways)))
+            word = op is C.AT and arg is C.AT_BOUNDARY
+        return out
+
+    return walk(_parser.parse(pattern), False)
+
+
 @cache
-def _by_keyword() -> tuple[np.ndarray, dict[int, tuple[int, ...]]]:
-    """Sorted hashes of cue words; and by hash of a keyword, its rules' numbers."""
-    table: dict[int, list[int]] = {}
+def _by_need() -> dict[Need, tuple[tuple[int, tuple[frozenset[Need], ...]], ...]]:
+    """Rules by the strings of their longest need, each with its other needs."""
+    table: dict[Need, list] = {}
     for i, rule in enumerate(rules()):
-        table.setdefault(hash_word(rule.keyword), []).append(i)
-    return np.array(sorted(hash_word(w) for w in CUES), np.uint64), {k: tuple(v) for k, v in table.items()}
+        first, *others = sorted(needs(rule.pattern.pattern), key=lambda x: -min(len(n) for n, _ in x))
+        for need in first:
+            table.setdefault(need, []).append((i, tuple(others)))
+    return {k: tuple(v) for k, v in table.items()}
+
+
+_IN_WORD = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def _holds(text: bytes, need: Need) -> bool:
+    string, starts = need
+    at = text.find(string)
+    while starts and at > 0 and text[at - 1] in _IN_WORD:
+        at = text.find(string, at + 1)
+    return at >= 0
+
+
+def candidates(text: bytes) -> list[int]:
+    """The rules that may match a lowered text: it holds all their strings."""
+    seen: dict[Need, bool] = {}
+
+    def met(need: Need) -> bool:
+        if need not in seen:
+            seen[need] = _holds(text, need)
+        return seen[need]
+
+    return sorted({i for need, own in _by_need().items() if met(need) for i, others in own if all(any(map(met, x)) for x in others)})
 
 
 def detections(text: str, numbers: list[int]) -> list[tuple[int, int, int]]:
@@ -208,16 +268,11 @@ def scan(part: Slice) -> list[dict]:
             at = at[(h[at + k] == np.uint64(hash_word(phrase[k]))) & (found.row[at + k] == found.row[at])]
         for i in at.tolist():
             places[found.row[i]].append((i - int(found.first[found.row[i]]), label))
-    cues, by_keyword = _by_keyword()
-    cued = np.unique(found.row[np.isin(h, cues)])
-    keys = np.array(sorted(by_keyword), np.uint64)
     own: dict[int, list[tuple[int, int, int]]] = {}
-    for row in cued.tolist():
-        mine = np.unique(h[found.first[row] : found.first[row + 1]])
-        numbers = sorted(n for k in mine[np.isin(mine, keys)].tolist() for n in by_keyword[k])
-        if numbers:
-            text = part.data[part.offsets[row] : part.offsets[row + 1]].tobytes().translate(_LOWER).decode("utf-8", "replace")
-            own[row] = detections(text, numbers)
+    for row in range(part.rows):
+        text = part.data[part.offsets[row] : part.offsets[row + 1]].tobytes().translate(_LOWER)
+        if numbers := candidates(text):
+            own[row] = detections(text.decode("utf-8", "replace"), numbers)
     out = []
     for row, n in enumerate(found.per_row.tolist()):
         base, more = places[row], own.get(row, [])

@@ -337,6 +337,57 @@ def test_contained_detections_give_way():
     assert len(licenses.rules()) > 200
 
 
+def shortest(tree) -> str:
+    """A least text that a parsed pattern matches; of each branch the first."""
+    out = ""
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "ANY":
+            out += "e"
+        elif name == "IN":
+            kind, x = arg[0]
+            out += {"LITERAL": lambda: chr(x), "RANGE": lambda: chr(x[0]), "CATEGORY": lambda: "\n"}[str(kind)]()
+        elif name == "MAX_REPEAT":
+            out += shortest(arg[2]) * arg[0]
+        elif name == "SUBPATTERN":
+            out += shortest(arg[3])
+        elif name == "BRANCH":
+            out += shortest(arg[1][0])
+    return out
+
+
+def test_each_license_rule_fires_on_its_own_match():
+    for n, rule in enumerate(licenses.rules()):
+        text = shortest(re._parser.parse(rule.pattern.pattern))
+        for around in (text, f"“{text}”", f"x\n\n{text}\n\nx"):
+            assert rule.pattern.search(around), (rule, around)
+            assert n in licenses.candidates(around.encode()), (rule, around)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [("under CDDL-1.0", "cddl-1.0"), ("EUPL-1.2", "eupl-1.2"), ("SSPL-1.0", "sspl-1.0"), ("under LGPLv3", "lgpl-3.0"), ("AGPLv3", "agpl-3.0"), ("gpl3", "gpl-3.0"), ("LGPL3", "lgpl-3.0"), ("FreeBSD License", "bsd-2-clause"), ("the Open Data License 1.0", "odbl-1.0"), ("both MIT licences: MIT licence", "mit"), ("“MIT License”", "mit"), ("GNU  General\n    Public\tLicense v3", "gpl-3.0"), ("All Rights\n\nReserved", "reserved")],
+)
+def test_license_scan_finds(text, label):
+    import pyarrow as pa
+
+    from motionspark.llm.words import slices
+
+    (part,) = slices(pa.array([text]))
+    assert label in licenses.scan(part)[0]["labels"].split(",")
+
+
+def test_candidates_leave_no_match_out():
+    rng = random.Random(88)
+    bits = ["gpl", "lgpl", "v", "3", ".0", "-", " ", "\n", "mit", "license", "licence", "open", "data", "cc", "by", "sa", "4.0", "bsd", "free", "new", "public", "creative commons", "attribution", "epl", "people", "apache", "“", "_", "x", "zlib/libpng", "rights reserved", "all", "noncommercial", "domain", "in the"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(2, 12)))
+        hit = {n for n, rule in enumerate(licenses.rules()) if rule.pattern.search(text)}
+        assert hit <= set(licenses.candidates(text.encode())), text
+
+
 # 9: quality
 
 
