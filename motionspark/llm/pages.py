@@ -6,8 +6,12 @@ smoothed with a Gaussian kernel over its neighbours, and lines whose smoothed ra
 (a share of the ratios' standard deviation) form content clusters. Elements that are never part of an
 article (menus, forms, scripts and so on, by tag, role, class or id) open no lines at all.
 
-Where the page has ``article`` or ``main`` elements, the content region is their lines, if a cluster meets
-them; otherwise it runs from the first to the last line of the clusters, with a heading just before it.
+The content region runs from the first to the last line of the clusters, with headings just before it.
+``article`` and ``main`` elements bound the clusters where at least half of the clusters' text stands in them
+(then the share of their ratios' geometric mean caps the threshold, lest one long block hide the short ones);
+otherwise the clusters decide alone. In a bound, one or two short lines beside a cluster belong to it. A line
+that is mostly links is no part of the region unless, in a bound, it is a heading or its own ratio reaches
+the threshold.
 
 Defined cases: null or empty html gives empty text and 0 characters; a page without any cluster falls back
 to all its lines; unclosed and stray tags are tolerated; repeated rows are each extracted; an empty table
@@ -31,6 +35,7 @@ from .storage import small_batches
 SIGMA = 2.0
 SHARE = 0.25
 LINKED = 0.6
+BOUND = 0.5
 
 # Names in HTML.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -178,20 +183,28 @@ def main_text(html: str | None) -> str:
     if not kept:
         return ""
     ratios = np.array([len(text) / line.tags for line, text in kept])
-    content = smoothed(ratios) >= SHARE * ratios.std()
+    near, least = smoothed(ratios), SHARE * ratios.std()
     linked = np.array([line.linked > LINKED * len(text) for line, text in kept])
+    heading = np.array([line.heading for line, _ in kept])
     inside = np.array([line.inside for line, _ in kept])
-    if inside.any():
-        region = inside if (inside & content).any() else content
-    else:
-        at = np.flatnonzero(content & ~linked)
-        region = np.zeros(len(kept), bool)
-        if len(at):
-            first = at[0] - (at[0] > 0 and kept[at[0] - 1][0].heading)
-            region[first : at[-1] + 1] = True
-            region &= ~linked
-        else:
-            region[:] = True
+    size = np.array([len(text) for _, text in kept]) * ((near >= least) & ~linked)
+    bound = np.ones(len(kept), bool)
+    if inside.any() and size[inside].sum() >= BOUND * size.sum():
+        bound, least = inside, min(least, SHARE * np.exp(np.log(ratios[inside]).mean()))
+        linked &= (ratios < least) & ~heading
+    at = np.flatnonzero((near >= least) & ~linked & bound)
+    if not len(at):
+        return "\n\n".join(text for (_, text), r in zip(kept, bound, strict=True) if r)
+    first, last = at[0], at[-1]
+    if bound is inside:
+        beside = np.flatnonzero(bound & ~linked)
+        k, n = np.searchsorted(beside, (first, last))
+        first, last = beside[max(0, k - int(SIGMA))], beside[min(len(beside) - 1, n + int(SIGMA))]
+    while first and heading[first - 1] and bound[first - 1]:
+        first -= 1
+    region = np.zeros(len(kept), bool)
+    region[first : last + 1] = True
+    region &= bound & ~linked
     return "\n\n".join(text for (_, text), r in zip(kept, region, strict=True) if r)
 
 

@@ -41,6 +41,20 @@ def test_main_text_of_a_page():
     assert pages.main_text(PAGE) == "Fish & chips\n\nFirst paragraph with bold text that goes on for a while, long enough.\n\nSecond été paragraph, which is long as well."
 
 
+def test_clusters_choose_the_lines_of_a_page():
+    body = [f"Paragraph {i} " + "of the main text, which goes on for quite a while. " * 4 for i in range(8)]
+    div = "".join(f"<p>{t}</p>" for t in body)
+    want = [t.strip() for t in body]
+    cards = "".join(f"<article><h3><a href='/{i}'>Card {i}</a></h3><p><a href='/{i}'>More about {i}</a></p></article>" for i in range(4))
+    assert pages.main_text(f"<body><div>{div}</div><div>{cards}</div></body>").split("\n\n") == want
+    links = "<p><a href='/t'>Tweet</a> <a href='/s'>Share this</a></p>"
+    notices = "<p><b>Sign</b> <i>up</i> <u>now</u></p>" * 8
+    got = pages.main_text(f"<body><article>{links}<h1><a href='#t'>Title</a></h1>{div}<p>Short.</p>{links}<h2>More</h2><p>{body[0]}</p><p>The end.</p>{notices}</article></body>").split("\n\n")
+    assert got[:12] == ["Title", *want, "Short.", "More", want[0]]
+    assert got[12] == "The end."
+    assert len(got) <= 13 + 6  # smoothing reaches six lines
+
+
 def test_pages_defined_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (3, "u", "plain words only"), (4, "u", "<p>open <b>tags <i>everywhere"), (5, "u", "<p>" + "long " * 50_000 + "</p>")]
     got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")).collect()
