@@ -68,6 +68,8 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.line = Line()
         self.open: list[tuple[str, bool]] = []  # tag, and whether it is left out
+        self.at: dict[str, list[int]] = {}  # the places of each tag in it
+        self.blocks: list[int] = []  # and of all block elements
         self.out = 0
         self.inside = 0
         self.links = 0
@@ -78,6 +80,9 @@ class Lines(HTMLParser):
         self.line = Line(inside=self.inside > 0, heading=tag in _HEADINGS)
 
     def _push(self, tag: str, out: bool) -> None:
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in _BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, out))
         self.out += out
         self.inside += tag in ("article", "main")
@@ -85,19 +90,21 @@ class Lines(HTMLParser):
 
     def _pop(self) -> None:
         tag, out = self.open.pop()
+        self.at[tag].pop()
+        if tag in _BLOCKS:
+            self.blocks.pop()
         self.out -= out
         self.inside -= tag in ("article", "main")
         self.links -= tag == "a"
 
-    def _close(self, tags: set[str] | frozenset[str], stops: set[str]) -> None:
+    def _close(self, tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
         """Close up to the innermost open element of ``tags``, if none of ``stops`` lies within it."""
-        for i in range(len(self.open) - 1, max(-1, len(self.open) - 64), -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in stops:
-                return
+        last = lambda names: max((self.at[t][-1] for t in names if self.at.get(t)), default=-1)
+        at = last(tags)
+        if at < 0 or at < (self.blocks[-1] if stops is _BLOCKS and self.blocks else last(stops)):
+            return
+        while len(self.open) > at:
+            self._pop()
 
     def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _NEVER or (tag == "header" and not self.inside):
@@ -145,7 +152,7 @@ class Lines(HTMLParser):
         if tag == "p":
             self._close({"p"}, {"article", "section", "div", "li", "td", "body"})
         elif tag in ("b", "i", "em", "strong", "span", "a", "u", "small", "font"):
-            self._close({tag}, set(_BLOCKS))
+            self._close({tag}, _BLOCKS)
         else:
             self._close({tag}, set())
         if tag in _BLOCKS:

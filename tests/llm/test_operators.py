@@ -55,6 +55,27 @@ def test_clusters_choose_the_lines_of_a_page():
     assert len(got) <= 13 + 6  # smoothing reaches six lines
 
 
+@pytest.mark.parametrize("tag", ["span", "font", "div", "b"])
+def test_many_unclosed_tags_end_with_the_element_around_them(tag):
+    text = "The main text, which goes on for quite a while and then ends. " * 3
+    page = f"<body><div class='ad'><section>{f'<{tag}>spam ' * 400}</section></div><article><p>{text}</p></article><p>{'Outside. ' * 2}</p></body>"
+    got = pages.main_text(page)
+    assert "spam" not in got
+    assert got.startswith(text.strip())
+    inside = pages.Lines()
+    inside.feed(f"<article>{f'<{tag}>' * 400}{text}</article><p>after</p>")
+    assert [line.inside for line in inside.finish()] == [True, False]
+
+
+def test_stray_end_tags_take_no_time_with_depth():
+    import time
+
+    page = "<b><div>" + "<font>" * 20_000 + "</b></li>" * 20_000 + "word"
+    began = time.process_time()
+    assert pages.main_text(page) == "word"
+    assert time.process_time() - began < 5
+
+
 def test_pages_defined_cases(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "plain words only"), (3, "u", "plain words only"), (4, "u", "<p>open <b>tags <i>everywhere"), (5, "u", "<p>" + "long " * 50_000 + "</p>")]
     got = pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS text", "1 AS n_chars")).collect()
