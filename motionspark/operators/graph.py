@@ -7,6 +7,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.geometry import hinge_squared
 from ..sources.io import cut
@@ -149,6 +150,27 @@ def solve(edges: DataFrame, key: str, reward: float = 0.0) -> DataFrame:
     return edges.groupBy(key).applyInPandas(run, f"{key} string, person_id string, step long, node string")
 
 
+def chains(nodes: DataFrame, key: str, most: float) -> DataFrame:
+    """The rows of :func:`solve` where each node's only way on is the next node of its key and every node is worth a person.
+
+    ``nodes``: key, node, start_frame, end_frame. A chain is cut where log1p of the gap exceeds ``most``, the cost of
+    an end and a start; so the choice at each gap is its own. Persons are numbered by their first nodes.
+    """
+    w = Window.partitionBy(key).orderBy("start_frame")
+    gap = (F.col("start_frame") - F.lag("end_frame").over(w)).cast("double")
+    n = nodes.withColumn("_new", F.coalesce((F.log1p(gap) > most).cast("int"), F.lit(1)))
+    n = n.withColumn("_chain", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    in_chain = Window.partitionBy(key, "_chain").orderBy("start_frame")
+    n = n.withColumn("_j", F.row_number().over(in_chain)).withColumn("_last", F.lead("node").over(in_chain).isNull())
+    heads = n.filter("_j = 1").withColumn("_p", F.row_number().over(Window.partitionBy(key).orderBy("node")))
+    heads = heads.select(key, "_chain", F.concat(F.lit("p"), F.when(F.col("_p") < 10_000, F.lpad(F.col("_p").cast("string"), 4, "0")).otherwise(F.col("_p").cast("string"))).alias("person_id"))
+    at = lambda step, name: F.struct(step.cast("long").alias("step"), name.alias("node"))
+    j = F.col("_j")
+    both = F.array(at(2 * j - 1, F.concat("node", F.lit("/in"))), at(2 * j, F.concat("node", F.lit("/out"))))
+    path = F.concat(F.when(j == 1, F.array(at(F.lit(0), F.lit("S")))).otherwise(F.array().cast("array<struct<step:bigint,node:string>>")), both, F.when(F.col("_last"), F.array(at(2 * j + 1, F.lit("T")))).otherwise(F.array().cast("array<struct<step:bigint,node:string>>")))
+    return n.withColumn("_path", F.explode(path)).join(heads, [key, "_chain"]).select(key, "person_id", "_path.step", "_path.node")
+
+
 def effective_xy(both: bool = False) -> tuple[Column, Column]:
     """Repaired coordinates, else raw ones: per axis, or only if both repaired ones are there."""
     if not both:
