@@ -12,8 +12,11 @@ from pyspark.sql.utils import AnalysisException
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset: a temporary one in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="motionspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
