@@ -4,7 +4,13 @@ The standard library's streaming parser gives events; they are gathered into lin
 each with its text, the tags met in it and how much of its text is linked. A line's text-to-tag ratio is
 smoothed with a Gaussian kernel over its neighbours, and lines whose smoothed ratio reaches a threshold
 (a share of the ratios' standard deviation) form content clusters. Elements that are never part of an
-article (menus, forms, scripts and so on, by tag, role, class or id) open no lines at all.
+article (menus, scripts, hidden ones and so on) open no lines at all.
+
+Others are left out on the word of their class, id or role, as those are named for what they hold ("ad",
+"user-comments") but also for what stands beside or around it ("has-sidebar", "nav-open"). So such an element
+is judged when the page is over: it stays if it holds every ``article`` and ``main`` of the page (or there is
+none) and the page's text besides: nearly all of it under a plain name, half of it under a compound one, whose
+word counts only where it comes last. A kept element's own inner elements are judged in turn.
 
 The content region runs from the first to the last line of the clusters, with headings just before it.
 ``article`` and ``main`` elements bound the clusters where at least half of the clusters' text stands in them
@@ -40,9 +46,15 @@ BOUND = 0.5
 # Names in HTML.
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NEVER = frozenset("applet aside audio button canvas dialog embed footer form frame frameset head iframe input label map math menu meter nav noscript object progress script search select style svg template textarea title video".split())
+_NEVER = frozenset("applet aside audio button canvas dialog embed footer frame frameset head iframe input label map math menu meter nav noscript object progress script search select style svg template textarea title video".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _HINTS = frozenset("ad ads adv advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs byline-share captcha comment comments commentlist consent cookie cookies cookiebar disqus footer gdpr login masthead menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paywall popup promo promos promoted promotion recommended related replies respond share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored sponsors subscribe subscription teaser toolbar topbar warning widget widgets".split())
+#: What may stand beside a hint in a plain name, and what makes a name one of a state or of a neighbour.
+_HOLDERS = frozenset("area bar block body bottom box button buttons container content element footer form group header inner item items left link links list middle outer panel posts right section slot text title top unit wrap wrapper zone".split())
+_STATES = frozenset("active closed collapsed disabled enabled has hidden hide is no not off on open show sticky toggle visible with without".split())
+#: Shares of the page's text that an element of a plain name, or of a compound one, must hold to stay.
+NEARLY_ALL = 0.9
+HALF = 0.5
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PARTS = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -53,13 +65,22 @@ _HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {
 
 @dataclass
 class Line:
-    text: list[str] = field(default_factory=list)
+    parts: list[tuple[str, bool, int]] = field(default_factory=list)  # text, whether it is linked, its region
     tags: int = 1
-    linked: int = 0
     inside: bool = False  # in an article or main element
     heading: bool = False
 
 
+@dataclass
+class Region:
+    """An element that may be left out: the one around it, the share it must hold to stay, its text and its articles."""
+
+    around: int
+    share: float
+    size: int = 0
+    articles: int = 0
+
+
 class Lines(HTMLParser):
     """Gathers the lines of one page."""
 
@@ -67,29 +88,36 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.line = Line()
-        self.open: list[tuple[str, bool]] = []  # tag, and whether it is left out
+        self.open: list[tuple[str, bool, int]] = []  # tag, whether it is left out, the region around it
         self.at: dict[str, list[int]] = {}  # the places of each tag in it
         self.blocks: list[int] = []  # and of all block elements
+        self.regions = [Region(-1, 0.0)]  # the first is the page
+        self.region = 0
         self.out = 0
         self.inside = 0
         self.links = 0
 
     def _turn(self, tag: str = "") -> None:
-        if self.line.text:
+        if self.line.parts:
             self.lines.append(self.line)
         self.line = Line(inside=self.inside > 0, heading=tag in _HEADINGS)
 
-    def _push(self, tag: str, out: bool) -> None:
+    def _push(self, tag: str, out: bool, share: float) -> None:
         self.at.setdefault(tag, []).append(len(self.open))
         if tag in _BLOCKS:
             self.blocks.append(len(self.open))
-        self.open.append((tag, out))
+        self.open.append((tag, out, self.region))
+        if share and not self.out:
+            self.regions.append(Region(self.region, share))
+            self.region = len(self.regions) - 1
         self.out += out
-        self.inside += tag in ("article", "main")
+        if tag in ("article", "main"):
+            self.inside += 1
+            self.regions[self.region].articles += not self.out
         self.links += tag == "a"
 
     def _pop(self) -> None:
-        tag, out = self.open.pop()
+        tag, out, self.region = self.open.pop()
         self.at[tag].pop()
         if tag in _BLOCKS:
             self.blocks.pop()
@@ -106,18 +134,20 @@ class Lines(HTMLParser):
         while len(self.open) > at:
             self._pop()
 
-    def _left_out(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in _NEVER or (tag == "header" and not self.inside):
-            return True
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, float]:
+        """Whether an element is left out at once, and else the share of the page's text it must hold to stay (0: none)."""
+        if tag in _NEVER:
+            return True, 0.0
+        share = NEARLY_ALL if tag == "header" and not self.inside else HALF if tag == "form" else 0.0
         for name, value in attrs:
             value = (value or "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                return True
-            if name == "role" and value in _ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("body", "html", "main") and (_HINTS.intersection(_PARTS.findall(value)) or _HINTS.intersection(value.split())):
-                return True
-        return False
+            if name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "")):
+                return True, 0.0
+            if (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
+                share = max(share, NEARLY_ALL)
+            if name in ("class", "id") and tag not in ("body", "html", "main"):
+                share = max([share, *map(_share_of_name, value.split())])
+        return False, share
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _CLOSES_P:
@@ -133,7 +163,7 @@ class Lines(HTMLParser):
                 self.handle_data(" ")
             self.line.tags += 1
             return
-        self._push(tag, self._left_out(tag, attrs))
+        self._push(tag, *self._named(tag, attrs))
         if tag in _BLOCKS:
             self.line.inside = self.inside > 0
         else:
@@ -159,16 +189,40 @@ class Lines(HTMLParser):
             self.line.inside = self.inside > 0
 
     def handle_data(self, data: str) -> None:
-        if self.out or (not self.line.text and not data.strip()):
+        if self.out or (not self.line.parts and not data.strip()):
             return
-        self.line.text.append(data)
-        if self.links:
-            self.line.linked += len(data)
-
-    def finish(self) -> list[Line]:
+        self.line.parts.append((data, self.links > 0, self.region))
+        self.regions[self.region].size += len(data.strip())
+
+    def kept_regions(self) -> list[bool]:
+        """Which regions stay; the lists of sizes and articles come to hold those of the regions within."""
+        size, articles = [r.size for r in self.regions], [r.articles for r in self.regions]
+        for i in range(len(self.regions) - 1, 0, -1):  # inner ones come after those around them
+            size[self.regions[i].around] += size[i]
+            articles[self.regions[i].around] += articles[i]
+        kept = [True]
+        for i, r in enumerate(self.regions[1:], 1):
+            kept.append(kept[r.around] and articles[i] == articles[0] and size[i] >= r.share * size[0])
+        return kept
+
+    def finish(self) -> list[tuple[Line, str, int]]:
+        """The lines that hold text of regions that stay, with that text and how much of it is linked."""
         self.close()
         self._turn()
-        return self.lines
+        kept, out = self.kept_regions(), []
+        for line in self.lines:
+            parts = [p for p in line.parts if kept[p[2]]]
+            if text := _SPACE.sub(" ", "".join(p[0] for p in parts)).strip():
+                out.append((line, text, sum(len(p[0]) for p in parts if p[1])))
+        return out
+
+
+def _share_of_name(name: str) -> float:
+    """What a class or id says: see ``NEARLY_ALL`` and ``HALF``; 0 if nothing."""
+    parts = _PARTS.findall(name)
+    if name in _HINTS or (_HINTS.intersection(parts) and all(p in _HINTS or p in _HOLDERS or p[0].isdigit() for p in parts)):
+        return NEARLY_ALL
+    return HALF if parts and parts[-1] in _HINTS and not _STATES.intersection(parts) else 0.0
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -183,15 +237,13 @@ def main_text(html: str | None) -> str:
     """The main text of a page: blocks joined by two line feeds."""
     parser = Lines()
     parser.feed(html or "")
-    kept: list[tuple[Line, str]] = []
-    for line in parser.finish():
-        if text := _SPACE.sub(" ", "".join(line.text)).strip():
-            kept.append((line, text))
+    found = parser.finish()
+    kept = [(line, text) for line, text, _ in found]
     if not kept:
         return ""
     ratios = np.array([len(text) / line.tags for line, text in kept])
     near, least = smoothed(ratios), SHARE * ratios.std()
-    linked = np.array([line.linked > LINKED * len(text) for line, text in kept])
+    linked = np.array([n > LINKED * len(text) for _, text, n in found])
     heading = np.array([line.heading for line, _ in kept])
     inside = np.array([line.inside for line, _ in kept])
     size = np.array([len(text) for _, text in kept]) * ((near >= least) & ~linked)
