@@ -101,7 +101,7 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
         "card": (r"[0-9]([\x20-]?[0-9])+", lambda v: 12 <= len(number(v)) <= 19 and luhn(number(v))),
         "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: 9 <= len(number(v)) <= 15),
     }
-    found = [(m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(kinds.items()) for m in re.finditer(p, text) if ok(m[0])]
+    found = [(m.start(), i, m.end(), k) for i, (k, (p, ok)) in enumerate(kinds.items()) if k != "email" or "@" in text for m in re.finditer(p, text) if ok(m[0])]
     return [(s, e, k) for s, _, e, k in sorted(found)]
 
 
