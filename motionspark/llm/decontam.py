@@ -6,18 +6,26 @@ of all documents are joined. Around a hit, document and item are laid over one a
 diagonal, and an overlap counts if some stretch of ``STRETCH`` words (the whole item, if it is shorter)
 agrees in at least 80 % of its places, so single substituted words do not hide a leak.
 
-The documents' hashes are first put to a bitmap of the benchmark's, of a fixed size whatever the benchmark;
-it only spares the join rows that cannot match.
-
-Defined cases: words are runs of letters and digits with A-Z lowered; null texts count as empty; items of
-under five words are too short to leak, items shorter than a seed are sought whole; rows without an item id
-are ignored; rows of one document id are one document; an empty table on either side gives no rows; further
-columns are ignored.
+``MASKS`` find every stretch of 13 words with up to two substitutions. A shorter item has masks of its own that
+are laid over it whole: its places are dealt to two parts more than words may differ, and each mask leaves out
+as many parts as words may differ, so wherever those words stand some mask ignores them all. So every overlap
+that counts has a hit, whatever the item's length.
+
+The documents' hashes are first put to a bitmap of the benchmark's, of a fixed size whatever the benchmark; it
+only spares the join rows that cannot match. A benchmark of over a million windows fills it more and more: then
+more windows of documents are written and joined (all of them at worst), and the result is the same. Hashes
+that very many windows of documents share are dealt to several tasks.
+
+Defined cases: words are runs of letters and digits with A-Z lowered; null texts count as empty; an item
+without words is ignored, as are rows without an item id; items of one to four words must stand verbatim,
+and :func:`keep_clean` takes them for too short to be a leak; rows of one document id are one document; an empty
+table on either side gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import saved, small_batches
+from .storage import dealt_join, saved, small_batches
 from .words import ALNUM, U64, Words, hashes, mix, slices, words
 
 #: Selected places of each mask, over at most ``SPAN`` words. Any 13 words with two substitutions hold a hit of one.
 MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 3, 6, 8, 9), (0, 1, 2, 3, 4, 5), (0, 3, 4, 5, 8, 9))
-SPAN = 10
+#: Items of fewer words are no leaks by themselves.
 SHORTEST = 5
 STRETCH = 13
 AGREE = 0.8
@@ -44,14 +52,21 @@ def seed_hashes(h: np.ndarray, row: np.ndarray, mask: tuple[int, ...]) -> tuple[
     """The hash of each window that lies in one text, and the index of its first word."""
     size = max(0, len(h) - mask[-1])
     at = np.flatnonzero(row[:size] == row[mask[-1] :][:size])
-    out = np.full(size, len(mask) * 1000 + sum(i << k for k, i in enumerate(mask)), np.uint64)
+    out = np.full(size, sum(1 << i for i in mask), np.uint64)
     for i in mask:
         out = out * _STEP + h[i : i + size]
     return mix(out[at]), at
 
 
-def _whole(n: int) -> tuple[int, ...]:
-    return tuple(range(n))
+def masks_of(n: int) -> list[tuple[int, ...]]:
+    """The masks for an item of ``n`` words."""
+    if n >= STRETCH:
+        return list(MASKS)
+    differ = n - int(np.ceil(AGREE * n))
+    if not differ:
+        return [tuple(range(n))]
+    parts = differ + 2
+    return [tuple(i for i in range(n) if i % parts not in out) for out in combinations(range(parts), differ)]
 
 
 def bit_places(h: np.ndarray) -> list[np.ndarray]:
@@ -63,7 +78,7 @@ _SEED = pa.schema([("hash", pa.int64()), ("item_id", pa.int64()), ("at", pa.int3
 
 
 def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
-    """hash, item_id, place of the window's first word and, for an item shorter than a seed, its size (else 0)."""
+    """hash, item_id, place of the window's first word and, for an item that has masks of its own, its size (else 0)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,11 +86,13 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
             for part in slices(batch.column("text")):
                 found = words(part, ALNUM)
                 h, sizes = hashes(part, found), found.per_row
-                for mask, whole in (*((m, False) for m in MASKS), *((_whole(n), True) for n in range(SHORTEST, SPAN))):
+                there = sorted(set(np.minimum(sizes[sizes > 0], STRETCH).tolist()))
+                for n, mask in ((n, mask) for n in there for mask in masks_of(n)):
                     seeds, at = seed_hashes(h, found.row, mask)
                     row = found.row[at]
-                    own = sizes[row] == len(mask) if whole else sizes[row] >= SPAN
-                    size = len(mask) if whole else 0
+                    # a mask of a short item is laid over it from its first word on
+                    own = (sizes[row] == n) & (at == found.first[row]) if n < STRETCH else sizes[row] >= STRETCH
+                    size = n if n < STRETCH else 0
                     yield pa.RecordBatch.from_arrays([pa.array(seeds[own].view(np.int64)), pa.array(ids[part.first + row[own]]), pa.array((at - found.first[row])[own].astype(np.int32)), pa.array(np.full(own.sum(), size, np.int32))], schema=_SEED)
 
     return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL").mapInArrow(make, "hash long, item_id long, at int, size int")
@@ -125,13 +142,13 @@ def _sought(h: np.ndarray, found: Words, masks: list[tuple[int, ...]], bits: np.
             seeds, at = seeds[may], at[may]
         got_h.append(seeds)
         got_at.append(at)
-    return np.concatenate(got_h), np.concatenate(got_at)
+    return np.concatenate([*got_h, np.zeros(0, np.uint64)]), np.concatenate([*got_at, np.zeros(0, np.int64)])
 
 
 def candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Documents with a window the bitmap may hold: uid (of the row), doc_id, words and those windows."""
-    lengths = sorted(r[0] for r in seeds.filter("size > 0").select("size").distinct().collect())  # at most SPAN - SHORTEST values
-    masks = [*MASKS, *map(_whole, lengths)]
+    lengths = [r[0] for r in seeds.select("size").distinct().collect()]  # fewer than STRETCH values
+    masks = sorted({mask for n in lengths for mask in masks_of(n or STRETCH)})
     shared = docs.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))  # 2 MB whatever the benchmark
     window = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))
     fields = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("windows", window)])
@@ -181,8 +198,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     seeds = saved(benchmark_seeds(benchmark), "seeds")
     found = saved(candidates(docs, seeds), "windows")
-    hits = found.select("uid", F.inline("windows")).withColumnRenamed("at", "doc_at").join(seeds.select("hash", "item_id", "at").distinct(), "hash")
+    windows = found.select("uid", F.inline("windows")).withColumnRenamed("at", "doc_at")
+    sizes = saved(windows.groupBy("hash").agg(F.count("*").alias("n")), "window-counts")
+    hits = dealt_join(windows, seeds.select("hash", "item_id", "at").distinct(), "hash", sizes, "uid")
     lines = hits.groupBy("uid", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).count()
+    # a document and an item have no more diagonals than words
     pairs = lines.groupBy("uid", "item_id").agg(F.collect_list("diagonal").alias("diagonals"), F.sum("count").alias("n_seeds"))
     items = word_lists(benchmark.filter("item_id IS NOT NULL"), "item_id").withColumnRenamed("words", "item")
     laid = pairs.join(found.select("uid", "doc_id", "words"), "uid").join(items, "item_id")
@@ -204,10 +224,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return best.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any leak."""
-    leaky = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leaky")).distinct()
-    return docs.join(leaky, F.col("doc_id").eqNullSafe(F.col("_leaky")), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """The documents without any leak of an item of at least ``shortest`` words; all their columns stay, whatever their names."""
+    leaky = find_leaks(docs, benchmark).filter(F.col("item_words") >= shortest).select("doc_id").distinct()
+    numbered = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
+    doc_id = F.col(f"_{docs.columns.index('doc_id')}").cast("long")
+    return numbered.join(leaky, doc_id.eqNullSafe(F.col("doc_id")), "left_anti").toDF(*docs.columns)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
