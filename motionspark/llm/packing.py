@@ -2,10 +2,12 @@
 
 Documents become token ids; longer ones are cut from the back, so only a first piece is short. Pieces are
 dealt to groups of bounded size and packed there by best-fit decreasing. A group's lower bound is the best
-of several dual-feasible functions over its lengths. Groups whose count lies above the bound, and groups
-that leave room in a sequence, give back the pieces of their unfilled sequences; those are dealt anew, to
-fewer groups, and packed again. It ends when the total meets the bound over all lengths (a table of at most
-``capacity`` rows) or a round saves nothing.
+of several dual-feasible functions over its lengths; a group that meets it is certified: no packing of its own
+pieces needs fewer sequences. A group with a gap between the two gives back the pieces of all its unfilled
+sequences, a certified one only those of its emptiest, which is what rounding its bound up may have cost. They
+are dealt anew, to fewer groups, and packed again. Once that saves nothing more, all unfilled sequences of all
+groups exchange their pieces, as certificates say nothing across groups. It ends when the total meets the bound
+over all lengths (a table of at most ``capacity`` rows) or such a round, too, saves nothing.
 
 Defined cases: null text counts as empty (the end id alone makes one piece of length 1); repeated rows are
 packed each; an empty table gives no rows; further columns are ignored.
@@ -29,7 +31,8 @@ from .tokens import default_path, encoder
 CAPACITY = 2048
 GROUP_PIECES = 8192
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
-PLACED = PIECES + ", sequence_id long, offset long, filled long, bound long"
+PLACED = PIECES + ", sequence_id long, offset long, filled long, gap long, again boolean"
+_NAMES = [x.split()[0] for x in PIECES.split(", ")]
 
 
 def lower_bound(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> int:
@@ -94,39 +97,47 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id
 
 
 def _pack(pieces: DataFrame, groups: int, turn: int, capacity: int) -> DataFrame:
+    """Each group's packing: a piece's sequence, its offset there, how full that is, the group's gap, and whether the piece is given back."""
+
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
-        filled = np.bincount(bins, lengths).astype(np.int64)[bins]
-        bound = lower_bound(lengths, np.ones(len(lengths), np.int64), capacity)
-        return group[["doc_id", "piece", "start", "length", "ids_crc32", "deal"]].assign(sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offsets, filled=filled, bound=bound)
-
-    dealt = pieces.select(*(x.split()[0] for x in PIECES.split(", ")), F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(groups)).alias("dealt_to"))
+        filled = np.bincount(bins, lengths).astype(np.int64)
+        gap = len(filled) - lower_bound(lengths, np.ones(len(lengths), np.int64), capacity)
+        again = filled < capacity
+        if not gap:
+            again &= np.arange(len(filled)) == filled.argmin()
+        return group[_NAMES].assign(sequence_id=(turn << 56) + (int(key[0]) << 24) + bins, offset=offsets, filled=filled[bins], gap=gap, again=again[bins])
+
+    dealt = pieces.select(*_NAMES, F.pmod(F.xxhash64("deal", F.lit(turn)), F.lit(groups)).alias("dealt_to"))
     return dealt.groupBy("dealt_to").applyInPandas(pack, PLACED)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, rounds: int = 6) -> DataFrame:
-    """Give each piece a sequence and an offset in it."""
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Give each piece a sequence and an offset in it. Every round but two saves a sequence at least, so it ends."""
     lengths = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     n = sum(r["count"] for r in lengths)
     bound = lower_bound(np.array([r["length"] for r in lengths], np.int64), np.array([r["count"] for r in lengths], np.int64), capacity)
-    done: list[DataFrame] = []
-    pool, closed, before = pieces, 0, None
-    for turn in range(rounds):
-        placed = saved(_pack(pool, max(1, -(-n // group_pieces)), turn, capacity), f"packed-{turn}")
-        opened = placed.filter(F.col("filled") < capacity)
-        # a sequence has one piece at offset 0, so those pieces count sequences
-        counts = placed.agg(F.count_if((F.col("offset") == 0) & (F.col("filled") == capacity)).alias("full"), F.count_if((F.col("offset") == 0) & (F.col("filled") < capacity)).alias("room"), F.count_if(F.col("filled") < capacity).alias("n")).first()
-        total = closed + counts["full"] + counts["room"]
-        if total == bound or total == before or counts["n"] == 0 or turn == rounds - 1:
-            done.append(placed)
-            break
-        done.append(placed.filter(F.col("filled") == capacity))
-        closed, before, pool, n = closed + counts["full"], total, opened, counts["n"]
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    # a sequence has one piece at offset 0, so those pieces count sequences
+    counts = [F.count_if(F.col("offset") == 0).alias("sequences"), F.count_if("again").alias("again"), F.count_if(F.col("filled") < capacity).alias("unfilled")]
+    rest = pieces  # pieces to pack in this round
+    kept: DataFrame | None = None  # and those that keep their sequences
+    best: DataFrame | None = None
+    fewest, turn, wide = 0, 0, False
+    while True:
+        placed = saved(_pack(rest, max(1, -(-n // group_pieces)), turn, capacity), f"packed-{turn}")
+        everything = placed if kept is None else kept.unionByName(placed)
+        now = everything.agg(*counts).first()
+        if best is None or now["sequences"] < fewest:
+            best, fewest, left, wide = everything, now["sequences"], now, False  # a narrow round comes next
+        elif wide:
+            return best
+        else:
+            wide = True
+        if fewest == bound or not left["unfilled"]:
+            return best
+        again = F.col("filled") < capacity if wide else F.col("again")
+        rest, kept, n, turn = best.filter(again), best.filter(~again), left["unfilled"] if wide else left["again"], turn + 1
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
