@@ -1,7 +1,9 @@
 """Operator 3: near-duplicate classes by DartMinHash.
 
-A document is the set of its runs of five words (letters and digits, A-Z lowered). Two documents are linked
-if the Jaccard similarity of their sets is at least 0.8; classes are the connected components. Per document:
+A document is the bag of its runs of five words (letters and digits, A-Z lowered): each run's weight is how
+often it occurs. Two documents are linked if the weighted Jaccard similarity of their bags (the sum of the
+lesser weights over that of the greater ones) is at least 0.8; without repeated runs that is the similarity of
+sets. Classes are the connected components. Per document:
 
 1. *Signature.* Hashed darts fall on the plane of each element's weight and rank; per coordinate the dart of
    the least rank that lies below the element's weight is kept. Only regions under a rank bound that leaves
@@ -18,6 +20,11 @@ if the Jaccard similarity of their sets is at least 0.8; classes are the connect
 
 Components are found by contracting stars: each round connects every node's neighbours to the least of them.
 
+To compare bags exactly, the second, third and further occurrences of a run count as elements of their own;
+the bags' weighted similarity is then the plain one of those sets. Joins on a band deal the rows of a hot band
+to several tasks. A hot bucket of n documents in several components makes n * n / 512 rows of sketches in the
+last round, as each of its blocks meets all its members; components that earlier rounds join make none.
+
 Defined cases: null text counts as empty; texts of one to four words are one run; texts without words are
 alike if they are equal; a null id gives a null class and joins no other; rows of one id are one document
 and share a class; an empty table gives no rows; further columns are ignored.
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import saved, small_batches
+from .storage import dealt_join, forget, saved, small_batches
 from .words import ALNUM, U64, Slice, hashes, mix, shingles, slices, text_hashes, words
 
 RUN = 5
@@ -76,7 +83,7 @@ def dart_signatures(element: np.ndarray, row: np.ndarray, rows: int, k: int, wei
             regions = np.ceil(bound[r] * width).astype(np.int64)
             of = np.repeat(np.arange(len(e)), regions)
             step = np.arange(len(of)) - np.repeat(np.cumsum(regions) - regions, regions)
-            seed = mix(e[of] + U64(level + 1) * _SALT + step.astype(np.uint64) * _STEP)
+            seed = mix(e[of] + U64((level + 1) * int(_SALT) % 2**64) + step.astype(np.uint64) * _STEP)
             darts = np.searchsorted(_POISSON, seed >> U64(32), "right")
             at = np.repeat(np.arange(len(of)), darts)
             nth = np.arange(len(at)) - np.repeat(np.cumsum(darts) - darts, darts)
@@ -101,6 +108,16 @@ def dart_signatures(element: np.ndarray, row: np.ndarray, rows: int, k: int, wei
     return out.reshape(rows, k)
 
 
+def occurrences(grams: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs and rows sorted by row, then run, and how often the run has occurred in its row before."""
+    order = np.lexsort((grams, row))
+    grams, row = grams[order], row[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (row[1:] != row[:-1])
+    start = np.flatnonzero(new)
+    return grams, row, np.arange(len(grams)) - np.repeat(start, np.diff(np.append(start, len(grams))))
+
+
 def band_hashes(signature: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     parts = signature.reshape(len(signature), bands, rows)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _SALT, parts.shape[:2]).copy()
@@ -137,7 +154,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = words(part, ALNUM)
                 grams, row = shingles(hashes(part, found), found, RUN)
                 key1, key2 = bag_keys(grams, row, part, text_hashes(part))
-                bands = band_hashes(dart_signatures(grams, row, part.rows, BANDS * ROWS))
+                grams, row, before = occurrences(grams, row)
+                first = np.flatnonzero(before == 0)
+                weight = np.diff(np.append(first, len(grams))).astype(float)
+                bands = band_hashes(dart_signatures(grams[first], row[first], part.rows, BANDS * ROWS, weight))
                 some = found.per_row > 0
                 yield pa.RecordBatch.from_arrays([ids.slice(part.first, part.rows), pa.array(key1.view(np.int64)), pa.array(key2.view(np.int64)), _lists(bands[some].ravel().view(np.int64), some * BANDS, pa.int64())], ["doc_id", "key1", "key2", "bands"])
 
@@ -145,8 +165,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def run_sets(docs: DataFrame) -> DataFrame:
-    """node (the id), runs (the distinct runs' hashes, 32 bits each) and parity: per place, given by a hash's
-    last bits, whether an odd number of the hashes fall there, 64 places a number."""
+    """node (the id), runs (the hashes of the runs' occurrences, 32 bits each) and parity: per place, given by a
+    hash's last bits, whether an odd number of the hashes fall there, 64 places a number."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,6 +174,8 @@ def run_sets(docs: DataFrame) -> DataFrame:
             for part in slices(batch.column("text")):
                 found = words(part, ALNUM)
                 grams, row = shingles(hashes(part, found), found, RUN)
+                grams, row, before = occurrences(grams, row)
+                grams = np.where(before > 0, mix(grams + before.astype(np.uint64) * _STEP), grams)
                 distinct = np.unique((row.astype(np.uint64) << U64(32)) | (grams >> U64(32)))
                 sizes = np.bincount((distinct >> U64(32)).astype(np.int64), minlength=part.rows)
                 place = (distinct >> U64(32)).astype(np.int64) * PLACES + (distinct & U64(PLACES - 1)).astype(np.int64)
@@ -183,7 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionAll(edges.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         moved = both.join(least, "u").select(F.col("v"), "m").unionAll(least.select(F.col("u").alias("v"), "m"))
-        edges = saved(moved.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).filter("a <> b").distinct(), "edges")
+        edges, old = saved(moved.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b")).filter("a <> b").distinct(), "edges"), edges
+        forget(old)
 
 
 def _pair(a: str, b: str):
@@ -210,9 +233,10 @@ def across(named: DataFrame, sets: DataFrame) -> DataFrame:
     A large bucket is dealt in blocks: each block of one side meets the whole other side. The sketches are
     compared within the join, so pairs that are not near are never rows.
     """
-    size = named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    size = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high"), "sizes")
     sketches = sets.select("node", F.struct(F.size("runs").alias("size"), "parity", F.slice("runs", 1, SKETCH).alias("sketch")).alias("set"))
-    rest = saved(named.join(size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "band").join(sketches, "node"), "mixed")
+    blocks = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    rest = saved(dealt_join(named, blocks, "band", size.select("band", "n"), "node").join(sketches, "node"), "mixed")
     left = rest.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("set").alias("set_x"))
     right = rest.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("set").alias("set_y"))
     near = left.join(right, ["band", "block"]).filter((F.col("label_x") < F.col("label_y")) & _may_be_near("set_x", "set_y"))
@@ -231,9 +255,10 @@ def links(members: DataFrame, sets: DataFrame, star_bands: tuple[int, ...] = STA
         else:
             named = some.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         centre = F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
-        mixed = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("centre")).filter("low <> high")
         if turn < rounds:
-            pairs = named.join(mixed.select("band", F.col("centre.node").alias("c"), F.col("centre.label").alias("c_label")), "band").filter("label <> c_label").select(*_pair("node", "c"))
+            mixed = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("centre")).filter("low <> high"), "stars")
+            centres = mixed.select("band", F.col("centre.node").alias("c"), F.col("centre.label").alias("c_label"))
+            pairs = dealt_join(named, centres, "band", mixed.select("band", "n"), "node").filter("label <> c_label").select(*_pair("node", "c"))
         else:
             pairs = across(named, sets)
         new = saved(linked(pairs.distinct(), sets), f"links-{turn}")
@@ -252,8 +277,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = signed.filter("doc_id IS NOT NULL")
     nodes = saved(some.groupBy("key1", "key2").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.posexplode("bands").alias("nth", "band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band")
-    members = saved(banded.join(shared, "band"), "members")
+    shared = saved(banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("band", "n"), "shared")
+    members = saved(dealt_join(banded, shared.select("band"), "band", shared, "node"), "members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     sets = saved(run_sets(docs.join(involved, "doc_id", "left_semi")), "runs")
     labels = links(members, sets)
