@@ -123,7 +123,7 @@ def engagement_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _occluded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = bank(spark, sf_dir).withColumn("y1", F.col("y_m")).withColumn("y2", F.col("y_m") + 20 + F.col("x_m"))
-    return rows, machines.occlusions(rows, window=3, least_share=0.5, drop=0.3, recover=2, least=2, most=200, gap=3)
+    return rows, machines.occlusions(rows, window=3, onset=2, drop_bottom=0.3, drop_height=0.3, recover_bottom=0.1, recover_height=0.08, recover=2, jump=3.0, least=2, most=200, gap=3)
 
 
 @query()
@@ -185,7 +185,9 @@ def split_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def group_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return machines.group_spans(_alive(spark, sf_dir, 3), machines.thin(_alive(spark, sf_dir, 2), 3), 48)
+    lives = run_tables(spark, sf_dir)[1].withColumnRenamed("tracklet_id", "carrier_id")
+    merges = _alive(spark, sf_dir, 3).withColumn("frame_index", F.col("frame_index") + 1)  # a group begins just after one disappears
+    return machines.group_spans(merges, machines.thin(_alive(spark, sf_dir, 2), 3), lives, 48)
 
 
 @query(f"""WITH {RUNS}, whole AS (SELECT tracklet_id, min(frame_index) - 5 AS s, max(frame_index) + 5 AS e FROM bank GROUP BY 1),
@@ -233,40 +235,23 @@ def reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reason_counts(_priced(spark, sf_dir))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09),
-b AS (SELECT src AS u, dst AS v FROM e UNION SELECT dst, src FROM e),
-r AS (SELECT u AS node, u AS root FROM b UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem),
+b AS (SELECT src AS u, dst AS v FROM e UNION ALL SELECT dst, src FROM e),
+r(node, component) USING KEY (node) AS (
+  SELECT u, u FROM b GROUP BY u
+  UNION SELECT b.v, min(r.component) FROM r JOIN b ON b.u = r.node JOIN recurring.r AS old ON old.node = b.v WHERE r.component < old.component GROUP BY b.v)
+SELECT node, component FROM r""")
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 AND l_discount > 0.09")
-    return graph.components(li.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct())
-
-
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_partkey + l_suppkey % 7 + 1 AS dst FROM lineitem WHERE l_linenumber = 1),
-r AS (SELECT 1::BIGINT AS node, 0 AS round UNION SELECT 2, 0 UNION SELECT e.dst, r.round + 1 FROM r JOIN e ON e.src = r.node WHERE r.round < 25)
-SELECT node, min(round) AS round FROM r GROUP BY node""")
-def promotion_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey") % 7 + 1).alias("dst")).distinct()
-    return graph.promote(spark.range(1, 3).select(F.col("id").alias("node")), e)
-
-
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every (part, supplier) edge of the table."""
+    """Components over every (part, supplier) edge."""
     end = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
-    return table(spark, sf_dir, "lineitem").select(end("p", "l_partkey").alias("src"), end("s", "l_suppkey").alias("dst")).distinct()
-
-
-@query()
-def components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``components`` over every edge; no SQL, as the recursive query makes a row a node and reachable node."""
-    return graph.components(links(spark, sf_dir))
+    return graph.components(table(spark, sf_dir, "lineitem").select(end("p", "l_partkey").alias("src"), end("s", "l_suppkey").alias("dst")).distinct())
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_partkey + l_suppkey % 7 + 1 AS dst FROM lineitem),
 r AS (SELECT 1::BIGINT AS node, 0 AS round UNION SELECT 2, 0 UNION SELECT e.dst, r.round + 1 FROM r JOIN e ON e.src = r.node WHERE r.round < 25)
 SELECT node, min(round) AS round FROM r GROUP BY node""")
-def promotion_fixpoint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``promotion_fixpoint`` over every edge."""
+def promotion_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Promotion along every edge, in at most 25 rounds."""
     e = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_partkey") + F.col("l_suppkey") % 7 + 1).alias("dst")).distinct()
     return graph.promote(spark.range(1, 3).select(F.col("id").alias("node")), e)
 
@@ -311,7 +296,7 @@ def point_in_mat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank(spark, sf_dir).select("tracklet_id", "frame_index", (F.col("x_m") > 400).alias("trigger"), (F.col("confidence") > 0.9).alias("tag_hit"))
-    return machines.cadence(rows, k_seek=2, k_verify=30, k_ramp=1, ramp=10, cooldown=30)
+    return machines.cadence(rows, k_seek=2, k_verify=30, ramp=10, cooldown=30)
 
 
 @query(f"""WITH {SPANS}, p AS (SELECT l_orderkey AS node_id, b_id AS person_id, min(start_frame) AS s, max(end_frame) AS e FROM spans GROUP BY 1, 2)
@@ -330,19 +315,11 @@ def gap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.gap_merge(spans(spark, sf_dir), ["a_id", "b_id"], 30)
 
 
-@query(f"""WITH {SPANS}, w AS (SELECT a_id, b_id, greatest(start_frame - 7, 100) AS start_frame, least(end_frame + 7, 2000) AS end_frame FROM spans WHERE start_frame BETWEEN 100 AND 2000
-  UNION ALL SELECT a_id, b_id, start_frame, start_frame + 3 FROM spans WHERE start_frame BETWEEN 100 AND 2000){_MERGED.format(rows='w')}""")
-def union_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spans(spark, sf_dir).filter("start_frame BETWEEN 100 AND 2000").select("a_id", "b_id", "start_frame", "end_frame")
-    seeds = s.withColumn("end_frame", F.col("start_frame") + 3)
-    return windows.gap_merge(matches.buffered(s, 7, 100, 2000).select("a_id", "b_id", "start_frame", "end_frame").unionByName(seeds), ["a_id", "b_id"], 30)
-
-
 @query(f"""WITH {SPANS}, b AS (SELECT min(start_frame) AS first_, max(end_frame) AS last_ FROM spans),
 w AS (SELECT a_id, b_id, greatest(start_frame - 7, first_) AS start_frame, least(end_frame + 7, last_) AS end_frame FROM spans, b
   UNION ALL SELECT a_id, b_id, start_frame, least(start_frame + 3, last_) FROM spans, b){_MERGED.format(rows='w')}""")
-def union_buffered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``union_buffered`` over every span; the session runs from the first span's start to the last one's end."""
+def union_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span and a seed at its start; the session runs from the first span's start to the last one's end."""
     s = spans(spark, sf_dir).select("a_id", "b_id", "start_frame", "end_frame")
     ends = s.agg(F.min("start_frame"), F.max("end_frame")).first()
     return matches.union_buffered(s, s.withColumn("end_frame", F.col("start_frame") + 3), ["a_id", "b_id"], 7, 30, (ends[0] or 0, ends[1] or 0))

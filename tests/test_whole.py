@@ -36,7 +36,7 @@ def components_of(edges: set[tuple[str, str]]) -> dict[str, str]:
 def test_components_over_every_edge(spark):
     li = pq.read_table(f"{DIR}/lineitem.parquet", columns=["l_partkey", "l_suppkey"]).to_pydict()
     want = components_of({(f"p{p}", f"s{s}") for p, s in zip(li["l_partkey"], li["l_suppkey"], strict=True)})
-    got = {r.node: r.component for r in catalog.queries()["components_all"](spark, DIR).collect()}
+    got = {r.node: r.component for r in catalog.queries()["components"](spark, DIR).collect()}
     assert got == want
     assert len(got) == len(set(li["l_partkey"])) + len(set(li["l_suppkey"]))
 
@@ -57,7 +57,7 @@ def test_promotion_over_every_edge(spark):
     for i in range(1, 26):
         front = {d: i for n in front for d in out.get(n, ()) if d not in want}
         want = want | front
-    assert {r.node: r.round for r in catalog.queries()["promotion_fixpoint_all"](spark, DIR).collect()} == want
+    assert {r.node: r.round for r in catalog.queries()["promotion_fixpoint"](spark, DIR).collect()} == want
 
 
 def test_spans_that_reach_into_the_session_are_cut(spark):
@@ -68,7 +68,7 @@ def test_spans_that_reach_into_the_session_are_cut(spark):
 
 
 def test_every_span_takes_part(spark):
-    assert catalog.queries()["union_buffered_all"](spark, DIR).agg({"n_merged": "sum"}).first()[0] == 2 * catalog.queries()["gap_merge"](spark, DIR).agg({"n_merged": "sum"}).first()[0]
+    assert catalog.queries()["union_buffered"](spark, DIR).agg({"n_merged": "sum"}).first()[0] == 2 * catalog.queries()["gap_merge"](spark, DIR).agg({"n_merged": "sum"}).first()[0]
 
 
 def test_chains_are_the_cheapest_flow(spark):
