@@ -3,7 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
 the next stage's ``docs``. All but the last return the columns of ``documents``; ``n_chars`` follows a
 changed text. SQL can express neither the signatures nor the fitted models, so there is no ORACLE_SQL; the
-tests hold each stage against a brute-force version.
+tests hold each stage against a brute-force version on its own input.
+
+Defined cases: a null text has no words, so the quality rules reject it; rows without an id are each a document of
+their own and no copies; of rows of one id the near-duplicate stage keeps one; a leak rejects all rows of its id;
+empty tables pass through every stage.
 """
 
 from __future__ import annotations
