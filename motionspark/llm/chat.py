@@ -11,8 +11,9 @@ roles and texts the control strings of this and other common templates are escap
 first character, and that mark itself by itself and ``e``; so ``unescape(escape(x)) = x`` for every x.
 
 Defined cases: null text or role counts as empty; turns of the same number are ordered by role, then text,
-and repeated rows stay; a record of an undeclared layout has no turns and the layout ``unknown``; an empty
-table gives no rows; further columns are ignored.
+and repeated rows stay; rows without a conv_id are one conversation of a null id; a record of an undeclared
+layout (of more fields than a declared one, too) has no turns and the layout ``unknown``, so its text must be sought
+in the record; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
