@@ -100,3 +100,33 @@ def first_reason(*checks: tuple[str, Column]) -> Column:
     for name, ok in reversed(checks):
         out = F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)).otherwise(out)
     return out
+
+
+def unsorted(df: DataFrame, session: str, order: list[str], arrival: str) -> DataFrame:
+    """Rows that come before their predecessor in a session's order, by the struct of the order's columns."""
+    w = Window.partitionBy(session).orderBy(arrival)
+    rank = F.struct(*order)
+    return df.withColumn("_r", rank).withColumn("_b", F.lag("_r").over(w)).filter(F.col("_r") < F.col("_b")).drop("_r", "_b")
+
+
+def cost_faults(costs: DataFrame) -> DataFrame:
+    """Faults of priced edges (rule, key): repeated or missing ids, reasons that are no JSON list, forbidden edges without one, totals that are no finite number."""
+    reasons = F.json_array_length("disallow_reasons_json")
+    total = F.col("total_cost")
+    rules = violations(
+        costs,
+        F.col("edge_id"),
+        edge_id_null=F.col("edge_id").isNotNull(),
+        allowed_null=F.col("is_allowed").isNotNull(),
+        reasons_not_a_list=reasons.isNotNull(),
+        forbidden_without_reason=F.coalesce("is_allowed", F.lit(True)) | (F.coalesce(reasons, F.lit(1)) >= 1),
+        total_not_finite=total.isNotNull() & ~F.isnan(total) & (F.abs(total) < float("inf")),
+    )
+    twice = repeated(costs.filter("edge_id IS NOT NULL"), ["edge_id"]).select(F.lit("edge_id_repeated").alias("rule"), F.col("edge_id").cast("string").alias("key"))
+    return rules.unionByName(twice)
+
+
+def list_faults(lists: DataFrame, key: str, ids: str, pairs: str) -> DataFrame:
+    """Faults of a constraint document's lists (rule, key): ids not sorted and distinct, pairs not (a < b), not sorted and distinct."""
+    canonical = lambda c: F.col(c) == F.array_sort(F.array_distinct(c))
+    return violations(lists, F.col(key), ids_not_canonical=canonical(ids), pair_reversed=F.forall(pairs, lambda p: p["a"] < p["b"]), pairs_not_canonical=canonical(pairs))

@@ -17,10 +17,12 @@ def claimable(clips: DataFrame, videos: DataFrame, tag: int, gym: int, now: Colu
 
 
 def claim(clips: DataFrame, clip_id: str, side: str, profile: int) -> DataFrame:
-    """Set a side's profile if it has none; another side than a or b raises."""
+    """Set a side's profile if it has none, and then the status, where there is one; another side than a or b raises."""
     if side not in ("a", "b"):
         raise ValueError(f"side must be a or b, not {side}")
     mine = (F.col("clip_id") == clip_id) & F.col(f"{side}_profile").isNull()
+    if "status" in clips.columns:
+        clips = clips.withColumn("status", F.when(mine, F.lit("uploaded")).otherwise(F.col("status")))
     return clips.withColumn(f"{side}_profile", F.when(mine, F.lit(profile)).otherwise(F.col(f"{side}_profile")))
 
 
@@ -91,3 +93,40 @@ def session_of(clips: DataFrame, schedule: DataFrame, zone: str, before_minutes:
     each = timed.select("*", F.explode(F.array(*(F.struct(d.alias("weekday"), (F.col("_minute") + m).alias("m")) for d, m in hits))).alias("_h")).select("*", "_h.weekday", "_h.m")
     found = each.join(schedule, "weekday").filter((F.col("m") >= start) & (F.col("m") <= end))
     return found.groupBy(*clips.columns).agg(F.min("entry").alias("entry"))
+
+
+def network_place(requests: DataFrame, networks: DataFrame) -> DataFrame:
+    """For each request (ssid, bssid) the place with that very station, else the least place of the network; null if there is none.
+
+    Both answers are looked up by key, so the places of a common network name never meet all its requests.
+    """
+    station = networks.dropna(subset=["bssid"]).groupBy("ssid", "bssid").agg(F.min("gym_id").alias("_station"))
+    named = networks.groupBy("ssid").agg(F.min("gym_id").alias("_named"))
+    return requests.join(station, ["ssid", "bssid"], "left").join(named, "ssid", "left").withColumn("gym_id", F.coalesce("_station", "_named")).drop("_station", "_named")
+
+
+def source_ids(clips: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The ids of a clip's source paths, in their order: known ones by lookup, new ones made from the path.
+
+    ``clips``: key, position, path; ``known``: path, video_id (text). A clip's list is as long as its sources.
+    """
+    one = known.groupBy("path").agg(F.min("video_id").alias("video_id"))
+    made = F.substring(F.sha2("path", 256), 1, 16)
+    found = clips.join(one, "path", "left").withColumn("created", F.col("video_id").isNull()).withColumn("video_id", F.coalesce("video_id", made))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "video_id"))), lambda x: x["video_id"])
+    return found.groupBy(key).agg(ids.alias("ids"), F.count_if("created").alias("n_created"))
+
+
+def audience(clips: DataFrame, checkins: DataFrame) -> DataFrame:
+    """Whom to tell of a clip, each profile once: of a flagged one those checked in at its gym under either tag, else its resolved sides."""
+    flagged = F.col("status") == "collision_flagged"
+    tags = F.explode(F.array_distinct(F.array_compact(F.array("a_tag", "b_tag"))))
+    there = clips.filter(flagged).select("clip_id", "gym_id", tags.alias("tag_id")).join(checkins.select("gym_id", "tag_id", "profile_id").distinct(), ["gym_id", "tag_id"]).select("clip_id", "profile_id").distinct()
+    sides = F.explode(F.array_distinct(F.array_compact(F.array("a_profile", "b_profile"))))
+    return there.unionByName(clips.filter(~F.coalesce(flagged, F.lit(False))).select("clip_id", sides.alias("profile_id")).distinct())
+
+
+def next_open(clips: DataFrame, done: DataFrame, key: str, camera: str, n: int, order: list[str]) -> DataFrame:
+    """The first ``n`` clips of each camera that are not done."""
+    w = Window.partitionBy(camera).orderBy(*order)
+    return clips.join(done.select(key).distinct(), key, "left_anti").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import people, tracks
+from . import links, people, tracks
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "proximity_intervals"
-_MODULES = (people, tracks)  # importing them registers their queries
+_MODULES = (links, people, tracks)  # importing them registers their queries
 
 
 def queries() -> dict[str, Query]:

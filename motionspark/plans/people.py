@@ -212,12 +212,12 @@ def binned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).groupBy("tag_id", F.floor(F.col("x_m") / 50).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("y_m"), 6).alias("mean"), F.median("y_m").alias("median"), F.round(F.stddev_samp("y_m"), 6).alias("std"))
 
 
-@query(f"""WITH {BANK}, t AS (SELECT tracklet_id, frame_index::DOUBLE AS s FROM bank WHERE x_m > 300),
+@query(f"""WITH {BANK}, t AS (SELECT tracklet_id, frame_index::DOUBLE AS s FROM bank WHERE x_m > 60),
 g AS (SELECT tracklet_id, round(lead(s) OVER (PARTITION BY tracklet_id ORDER BY s) - s, 1) AS g FROM t),
 a AS (SELECT tracklet_id, count(*) AS n_tones, round(avg(g), 6) AS mean_s, round(stddev_pop(g) / nullif(avg(g), 0), 6) AS cv FROM g GROUP BY 1)
 SELECT tracklet_id, n_tones, mean_s, cv, coalesce(cv < 0.6, false) AS periodic FROM a WHERE n_tones >= 3""")
 def periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches.periodicity(bank(spark, sf_dir).filter("x_m > 300"), ["tracklet_id"], F.col("frame_index").cast("double"), 0.6)
+    return matches.periodicity(bank(spark, sf_dir).filter("x_m > 60"), ["tracklet_id"], F.col("frame_index").cast("double"), 0.6)
 
 
 @query(f"""WITH {CLIPS}, {VIDEOS} SELECT clip_id, c.video_id FROM clips c WHERE a_profile = 7 OR b_profile = 7 OR video_id IN (SELECT video_id FROM videos WHERE gym_id = 3 AND status = 'P')""")
