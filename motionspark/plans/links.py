@@ -73,9 +73,9 @@ def best_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "edges AS (SELECT l_orderkey || '-' || l_linenumber AS edge_id, l_suppkey AS tracklet, l_returnflag AS kind, l_extendedprice::DOUBLE AS cost FROM lineitem)"
 
 
-@query(f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER w AS n, first_value(edge_id) OVER w AS e1, first_value(cost) OVER w AS c1, nth_value(edge_id, 2) OVER w AS e2, nth_value(cost, 2) OVER w AS c2
-  FROM edges WINDOW w AS (PARTITION BY tracklet, kind ORDER BY cost, edge_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT edge_id, tracklet, kind, cost, CASE WHEN n = 1 THEN e2 ELSE e1 END AS other_id, CASE WHEN n = 1 THEN c2 ELSE c1 END AS other_cost FROM r""")
+@query(f"""WITH {_EDGES}, b AS (SELECT tracklet, kind, min(struct_pack(c := cost, e := edge_id)) AS a FROM edges GROUP BY 1, 2),
+s AS (SELECT tracklet, kind, min(struct_pack(c := cost, e := edge_id)) AS z FROM edges JOIN b USING (tracklet, kind) WHERE edge_id <> a.e GROUP BY 1, 2)
+SELECT edge_id, tracklet, kind, cost, CASE WHEN edge_id = a.e THEN z.e ELSE a.e END AS other_id, CASE WHEN edge_id = a.e THEN z.c ELSE a.c END AS other_cost FROM edges JOIN b USING (tracklet, kind) LEFT JOIN s USING (tracklet, kind)""")
 def best_alternative(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"), F.col("l_suppkey").alias("tracklet"), F.col("l_returnflag").alias("kind"), F.col("l_extendedprice").cast("double").alias("cost"))
     return keyed.cheapest_other(edges, ["tracklet", "kind"], "edge_id", "cost")
