@@ -55,15 +55,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def dealt_join(many: DataFrame, few: DataFrame, key: str, sizes: DataFrame, by: str) -> DataFrame:
-    """The inner join on ``key``, where rows of a hot key of ``many`` go to several tasks and ``few``'s are copied to each.
+def dealt_join(many: DataFrame, few: DataFrame, key: str | list[str], sizes: DataFrame, by: str, how: str = "inner") -> DataFrame:
+    """The join (inner or left) on ``key``, where rows of a hot key of ``many`` go to several tasks and ``few``'s are copied to each.
 
     ``sizes`` (key, n): rows of ``many`` a key. A key is hot if it holds over 1 / HOT_KEYS of all rows (and over
     HOT_ROWS), so hot keys are fewer than HOT_KEYS however large the tables. ``by``: what a hot key is dealt by.
     """
+    keys = [key] if isinstance(key, str) else key
     total = sizes.agg(F.sum("n")).first()[0] or 0
     most = max(HOT_ROWS, -(-total // HOT_KEYS))
-    hot = F.broadcast(sizes.filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("int").alias("_deals")))  # fewer than HOT_KEYS rows
-    left = many.join(hot, key, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("_deals")).cast("int"), F.lit(0))).drop("_deals")
-    right = few.join(hot, key, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_deals"), F.lit(1)) - 1))).drop("_deals")
-    return left.join(right, [key, "_deal"]).drop("_deal")
+    hot = F.broadcast(sizes.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_deals")))  # fewer than HOT_KEYS rows
+    left = many.join(hot, keys, "left").withColumn("_deal", F.coalesce(F.pmod(F.xxhash64(by), F.col("_deals")).cast("int"), F.lit(0))).drop("_deals")
+    right = few.join(hot, keys, "left").withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_deals"), F.lit(1)) - 1))).drop("_deals")
+    return left.join(right, [*keys, "_deal"], how).drop("_deal")
