@@ -17,13 +17,14 @@ from .pseudo import op6_lm_scoring
 from .quality import op9_quality_rules
 from .resample import op11_importance_resampling
 from .sstable import op10_token_shards
+from .trie import OP12_SQL, op12_prefix_trie
 from .warc import OP13_SQL, op13_warc_captures
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_personal_data, op3_near_duplicates, op4_chat_formatting, op5_best_fit_packing, op6_lm_scoring, op7_decontamination, op8_license_scan, op9_quality_rules, op10_token_shards, op11_importance_resampling, op13_warc_captures]
+    found = [op1_html_extraction, op2_personal_data, op3_near_duplicates, op4_chat_formatting, op5_best_fit_packing, op6_lm_scoring, op7_decontamination, op8_license_scan, op9_quality_rules, op10_token_shards, op11_importance_resampling, op12_prefix_trie, op13_warc_captures]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_personal_data": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op13_warc_captures": OP13_SQL}
+    return {"op2_personal_data": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op12_prefix_trie": OP12_SQL, "op13_warc_captures": OP13_SQL}
