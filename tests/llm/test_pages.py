@@ -60,3 +60,63 @@ def test_elements_that_may_go_are_judged_by_what_they_hold():
     assert pages.main_text(f"<div class='widget'><div class='ad'>Buy</div>{post}</div>") == want  # inner ones are judged too
     assert pages.main_text("<div class='ad'>only</div>") == "only"
     assert pages.main_text("") == pages.main_text("<nav>x</nav>") == ""
+
+
+BODY = [f"{i}: {TEXT}".strip() for i in range(6)]
+SIX = "".join(f"<p>{x}</p>" for x in BODY)
+INNER = ["elementor-element elementor-widget", "post-widget", "widget", "block warning", "entry social", "content-teaser", "article-banner"]
+
+
+@pytest.mark.parametrize("outer", ["<main>", "<article>", "<div>", "<main><article>"])
+@pytest.mark.parametrize("name", INNER)
+@pytest.mark.parametrize("parts", [1, 2, 6])
+def test_names_inside_the_article_that_hold_its_text(outer, name, parts):
+    """Names of page builders' blocks, one around all or each around some of it."""
+    step = len(BODY) // parts
+    inner = "".join(f"<div class='{name}'><div class='{name.split()[-1]}-container'>" + "".join(f"<p>{x}</p>" for x in BODY[i : i + step]) + "</div></div>" for i in range(0, len(BODY), step))
+    ends = "".join(f"</{x}>" for x in reversed(outer.strip("<>").split("><")))
+    html = f"<body>{JUNK[0]}{JUNK[1]}{outer}{inner}{JUNK[4]}{ends}<div class='user-comments'><p>Nice post!</p></div>{JUNK[3]}</body>"
+    assert pages.main_text(html).split("\n\n") == BODY
+
+
+@pytest.mark.parametrize("n", [1, 40, 400])
+@pytest.mark.parametrize("article", [True, False])
+def test_reader_comments_go_whatever_their_share(n, article):
+    talk = f"<article><p>Nice. {TEXT}</p></article>" * n
+    post = f"<article>{SIX}</article>" if article else SIX
+    assert pages.main_text(f"<body>{post}<ol class='commentlist'>{talk}</ol></body>").split("\n\n") == BODY
+    assert pages.main_text(f"<body><article>{SIX}<div id='comments'>{talk}</div></article></body>").split("\n\n") == BODY
+    assert "Nice" in pages.main_text(f"<body><p>x</p><div id='comments'>{talk}</div></body>")  # nothing else on the page
+    code = "<pre><span class='comment'># one</span> x = 1</pre>"
+    assert "# one x = 1" in pages.main_text(f"<article>{SIX}{code}</article>")
+
+
+@pytest.mark.parametrize("around", ["<article>", "<div class='text'>", "<main>", ""])
+def test_short_blocks_up_to_the_end_of_the_content(around):
+    short = [f"D{i} she said." for i in range(14)]
+    end = f"</{around.strip('<>').split()[0]}>" if around else ""
+    inner = f"<h1>Title</h1><p class='teaser'>The lead.</p>{SIX}" + "".join(f"<p>{x}</p>" for x in short)
+    html = f"<body>{''.join(JUNK)}{around}{inner}{end}{''.join(JUNK)}</body>"
+    assert pages.main_text(html).split("\n\n") == ["Title", "The lead.", *BODY, *short]
+
+
+def test_lists_of_references_stay_in_articles():
+    refs = "".join(f"<li><a href='/{i}'>Reference {i}</a></li>" for i in range(4))
+    assert pages.main_text(f"<article><h1>T</h1>{SIX}<h2>References</h2><ul>{refs}</ul></article>").split("\n\n") == ["T", *BODY, "References", *(f"Reference {i}" for i in range(4))]
+
+
+def test_text_after_broken_markup_stays():
+    for broken, seen in (('<p>See <a href="x>this</a> there.</p>', "See this there."), ("<!-- never ends", "never ends"), ("<![foo[ x ]]>", ""), ("<p>a < b & c</p>", "a < b & c")):
+        got = pages.main_text(f"<body><article>{SIX}{broken}{SIX}</article></body>").split("\n\n")
+        assert got == [*BODY, *([seen] if seen else []), *BODY], broken
+    assert pages.main_text(f'<article>{SIX}</article><a href="').split("\n\n") == BODY
+
+
+@pytest.mark.parametrize("piece", ['<a href="', "<![CDATA[", "</", "<!--", "<?", "<", "<a b=c ", "<a '", "<div>", "<ul><li>", "&#", "<!doctype ", "<a/"])
+@pytest.mark.parametrize("end", ["", '">', "-->"])
+def test_a_megabyte_of_broken_markup_takes_linear_time(piece, end):
+    import time
+
+    began = time.process_time()
+    pages.main_text(piece * (500_000 // len(piece)) + end)
+    assert time.process_time() - began < 8
