@@ -15,14 +15,14 @@ sets. Classes are the connected components. Per document:
    links' components are found, and buckets that still hold several components take another centre, for
    pairs across components only. The first round looks at one band, later ones at more, so a large group is
    one component before most of its buckets are looked at. In the end all pairs across components that share
-   a bucket are compared, by sketches within the join and then exactly, so no link between components that
+   a bucket are compared, by parities in blocks and then exactly, so no link between components that
    any bucket shows is lost; pairs within a component are never made.
 
 Components are found by contracting stars: each round connects every node's neighbours to the least of them.
 
 To compare bags exactly, the second, third and further occurrences of a run count as elements of their own;
 the bags' weighted similarity is then the plain one of those sets. Joins on a band deal the rows of a hot band
-to several tasks. A hot bucket of n documents in several components makes n * n / 512 rows of sketches in the
+to several tasks. A hot bucket of n documents in several components makes n * n / 512 rows of parities in the
 last round, as each of its blocks meets all its members; components that earlier rounds join make none.
 
 Defined cases: null text counts as empty; texts of one to four words are one run; texts without words are
@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import dealt_join, forget, saved, small_batches
@@ -47,11 +47,10 @@ BANDS = 24
 ROWS = 5
 TENTHS = 8  # similarity in tenths
 #: Bands whose buckets take part in each round of stars.
-STAR_BANDS = (1, 6, 24)
-#: Hashes of a set that are compared before its whole, and members of a bucket that one task compares with all others.
-SKETCH = 256
+STAR_BANDS = (2, 24)
+#: Members of a bucket that one task compares with all others, and places of a set's parities.
 BLOCK = 512
-PLACES = 512
+PLACES = 2048
 _STEP = U64(0x9E3779B97F4A7C15)
 _SALT = U64(0xD6E8FEB86659FD93)
 #: Cumulative Poisson(1) probabilities, scaled to 32 bits.
@@ -213,34 +212,69 @@ def _pair(a: str, b: str):
     return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
 
 
-def _may_be_near(x: str, y: str) -> Column:
-    """Whether two rows of sketches may stand for near sets; exact for sets of fewer than SKETCH hashes.
-
-    Sets that differ in d hashes differ in d places of their parities at most, so that quick test loses nothing.
-    """
-    total = F.col(f"{x}.size") + F.col(f"{y}.size")
-    differ = sum((F.bit_count(F.col(f"{x}.parity")[i].bitwiseXOR(F.col(f"{y}.parity")[i])) for i in range(PLACES // 64)), F.lit(0))
-    a, b = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
-    common, na, nb = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
-    exact = common * (10 + TENTHS) >= (na + nb) * TENTHS
-    # of near sets' sketches 0.8 agree at least; a tenth less is four standard deviations
-    return (differ * (10 + TENTHS) <= total * (10 - TENTHS)) & F.when((na < SKETCH) & (nb < SKETCH), exact).otherwise(common * 10 >= F.least(na, nb) * (TENTHS - 1))
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of the rows of one ``key`` each, which stand together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if held and (k or held[-1].column(key)[0].as_py() != values[0]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _square(table: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of one length as an array of two dimensions."""
+    return table[name].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+
+
+def near_in_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The indices of pairs of different labels, of different blocks if there are two, that share no earlier band and may be near:
+    sets that differ in d hashes differ in d places of their parities at most, so none that is near is lost."""
+    block, label, size = (table[c].to_numpy() for c in ("block", "label", "size"))
+    parity, earlier = _square(table, "parity").view(np.uint64), _square(table, "earlier")
+    two, found = block.min() != block.max(), []
+    for i in range(table.num_rows):
+        at = np.flatnonzero((label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | (not two))) + i + 1
+        differ = np.bitwise_count(parity[at] ^ parity[i]).sum(1, dtype=np.int64)
+        at = at[differ * (10 + TENTHS) <= (size[at] + size[i]) * (10 - TENTHS)]
+        same = (earlier[at] == earlier[i]) & (earlier[i] != 0)
+        at = at[~same.any(1)]
+        found.append(np.stack([np.full(len(at), i), at]))
+    return tuple(np.concatenate(found, 1))
 
 
 def across(named: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of different labels that share a band and whose sketches may be near.
+    """The pairs (a, b) of different labels that share a band and whose parities may be near.
 
-    A large bucket is dealt in blocks: each block of one side meets the whole other side. The sketches are
-    compared within the join, so pairs that are not near are never rows.
+    Buckets of two members are settled by the rounds before. A large bucket is dealt in blocks, and each two blocks meet in a
+    group of their own. Pairs are compared there by their parities, and are rows only if they may be near, once, for the
+    first band they share.
     """
-    size = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high"), "sizes")
-    sketches = sets.select("node", F.struct(F.size("runs").alias("size"), "parity", F.slice("runs", 1, SKETCH).alias("sketch")).alias("set"))
+    size = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high AND n > 2"), "sizes")
+    outlines = sets.select("node", F.size("runs").cast("long").alias("size"), "parity")
     blocks = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = saved(dealt_join(named, blocks, "band", size.select("band", "n"), "node").join(sketches, "node"), "mixed")
-    left = rest.select("band", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("x"), F.col("label").alias("label_x"), F.col("set").alias("set_x"))
-    right = rest.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("set").alias("set_y"))
-    near = left.join(right, ["band", "block"]).filter((F.col("label_x") < F.col("label_y")) & _may_be_near("set_x", "set_y"))
-    return near.select(*_pair("x", "y"))
+    mixed = dealt_join(named, blocks, "band", size.select("band", "n"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    bands = mixed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("nth", "band"))).alias("bands"))  # BANDS at most
+    earlier = F.transform(F.sequence(F.lit(0), F.col("nth")), lambda i: F.coalesce(F.when(i < F.col("nth"), F.col("bands")[i]), F.lit(0).cast("long")))
+    rest = saved(mixed.join(bands, "node").join(outlines, "node").select("band", "blocks", "block", "node", "label", "size", "parity", earlier.alias("earlier")), "mixed")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    group = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
+    dealt = rest.select("*", other).withColumn("group", group).repartition("group").sortWithinPartitions("group").select("group", "block", "node", "label", "size", "parity", "earlier")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "group"):
+            i, j = near_in_block(table)
+            node = table["node"].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[i], node[j])), pa.array(np.minimum(node[i], node[j]))], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
 def links(members: DataFrame, sets: DataFrame, star_bands: tuple[int, ...] = STAR_BANDS) -> DataFrame:
@@ -251,10 +285,10 @@ def links(members: DataFrame, sets: DataFrame, star_bands: tuple[int, ...] = STA
     for turn in range(rounds + 1):
         some = members.filter(F.col("nth") < star_bands[turn]) if turn < rounds else members
         if labels is None:
-            named = some.select("band", "node", F.col("node").alias("label"))
+            named = some.withColumn("label", F.col("node"))
         else:
-            named = some.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        centre = F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", F.lit(turn)), "node"))
+            named = some.join(labels, "node", "left").select("nth", "band", "node", F.coalesce("label", "node").alias("label"))
+        centre = F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", "band", F.lit(turn)), "node"))
         if turn < rounds:
             mixed = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("centre")).filter("low <> high"), "stars")
             centres = mixed.select("band", F.col("centre.node").alias("c"), F.col("centre.label").alias("c_label"))
