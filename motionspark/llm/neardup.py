@@ -234,18 +234,25 @@ def _square(table: pa.Table, name: str) -> np.ndarray:
     return table[name].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
 
 
+def _share(lists: pa.Array, i: int, at: np.ndarray) -> np.ndarray:
+    """Which of the lists ``at`` hold a value of list ``i``."""
+    own = lists[i].values.to_numpy()
+    some = lists.take(pa.array(at))
+    hits = np.isin(some.flatten().to_numpy(), own)
+    return np.bincount(np.repeat(np.arange(len(at)), some.value_lengths().to_numpy()), hits, minlength=len(at)) > 0
+
+
 def near_in_block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The indices of pairs of different labels, of different blocks if there are two, that share no earlier band and may be near:
     sets that differ in d hashes differ in d places of their parities at most, so none that is near is lost."""
     block, label, size = (table[c].to_numpy() for c in ("block", "label", "size"))
-    parity, earlier = _square(table, "parity").view(np.uint64), _square(table, "earlier")
+    parity, earlier = _square(table, "parity").view(np.uint64), table["earlier"].combine_chunks()
     two, found = block.min() != block.max(), []
     for i in range(table.num_rows):
         at = np.flatnonzero((label[i + 1 :] != label[i]) & ((block[i + 1 :] != block[i]) | (not two))) + i + 1
         differ = np.bitwise_count(parity[at] ^ parity[i]).sum(1, dtype=np.int64)
         at = at[differ * (10 + TENTHS) <= (size[at] + size[i]) * (10 - TENTHS)]
-        same = (earlier[at] == earlier[i]) & (earlier[i] != 0)
-        at = at[~same.any(1)]
+        at = at[~_share(earlier, i, at)] if len(at) else at
         found.append(np.stack([np.full(len(at), i), at]))
     return tuple(np.concatenate(found, 1))
 
@@ -255,14 +262,14 @@ def across(named: DataFrame, sets: DataFrame) -> DataFrame:
 
     Buckets of two members are settled by the rounds before. A large bucket is dealt in blocks, and each two blocks meet in a
     group of their own. Pairs are compared there by their parities, and are rows only if they may be near, once, for the
-    first band they share.
+    least band they share.
     """
     size = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high AND n > 2"), "sizes")
     outlines = sets.select("node", F.size("runs").cast("long").alias("size"), "parity")
     blocks = size.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     mixed = dealt_join(named, blocks, "band", size.select("band", "n"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    bands = mixed.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("nth", "band"))).alias("bands"))  # BANDS at most
-    earlier = F.transform(F.sequence(F.lit(0), F.col("nth")), lambda i: F.coalesce(F.when(i < F.col("nth"), F.col("bands")[i]), F.lit(0).cast("long")))
+    bands = mixed.groupBy("node").agg(F.sort_array(F.collect_list("band")).alias("bands"))  # BANDS at most
+    earlier = F.filter("bands", lambda x: x < F.col("band"))
     rest = saved(mixed.join(bands, "node").join(outlines, "node").select("band", "blocks", "block", "node", "label", "size", "parity", earlier.alias("earlier")), "mixed")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     group = F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other"))
@@ -285,9 +292,9 @@ def links(members: DataFrame, sets: DataFrame, star_bands: tuple[int, ...] = STA
     for turn in range(rounds + 1):
         some = members.filter(F.col("nth") < star_bands[turn]) if turn < rounds else members
         if labels is None:
-            named = some.withColumn("label", F.col("node"))
+            named = some.select("band", "node", F.col("node").alias("label"))
         else:
-            named = some.join(labels, "node", "left").select("nth", "band", "node", F.coalesce("label", "node").alias("label"))
+            named = some.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
         centre = F.min_by(F.struct("node", "label"), F.struct(F.xxhash64("node", "band", F.lit(turn)), "node"))
         if turn < rounds:
             mixed = saved(named.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("centre")).filter("low <> high"), "stars")
