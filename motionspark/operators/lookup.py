@@ -130,3 +130,25 @@ def next_open(clips: DataFrame, done: DataFrame, key: str, camera: str, n: int,
     """The first ``n`` clips of each camera that are not done."""
     w = Window.partitionBy(camera).orderBy(*order)
     return clips.join(done.select(key).distinct(), key, "left_anti").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+
+
+def readiness(events: DataFrame, buffer_ms: int) -> DataFrame:
+    """When each session may go on, in the rule of :class:`motionspark.streaming.ordered.Readiness`, over all its events.
+
+    ``events``: session_id, cam_id, clip_id, at, done, tag_bytes, end_ms (one for a session). A session is decided at its end
+    and a buffer if some camera has done all clips seen by then, else once one has; a session without such a moment gives no row.
+    """
+    known = events.dropna(subset=["session_id", "at"])
+    bells = known.groupBy("session_id").agg((F.max("end_ms") + buffer_ms).alias("bell"))
+    clip = known.dropna(subset=["cam_id", "clip_id"]).groupBy("session_id", "cam_id", "clip_id").agg(F.min("at").alias("seen"), F.min(F.when(F.col("done"), F.col("at"))).alias("finished"))
+    change = clip.select("session_id", "cam_id", F.explode(F.array(F.struct(F.col("seen").alias("at"), F.lit(1).alias("d")), F.struct(F.col("finished").alias("at"), F.lit(-1).alias("d")))).alias("c"))
+    change = change.filter("c.at IS NOT NULL").groupBy("session_id", "cam_id", F.col("c.at").alias("at")).agg(F.sum("c.d").alias("d"))
+    w = Window.partitionBy("session_id", "cam_id").orderBy("at")
+    state = change.select("session_id", "cam_id", "at", (F.sum("d").over(w) == 0).alias("whole"), F.lead("at").over(w).alias("until")).join(bells, "session_id")
+    decided = state.filter("bell IS NOT NULL AND whole AND (until IS NULL OR until > bell)").groupBy("session_id").agg(F.min(F.greatest("at", "bell")).alias("decided_at"))
+    then = state.join(decided, "session_id").filter("at <= decided_at AND (until IS NULL OR until > decided_at)").groupBy("session_id", "decided_at")
+    names = lambda whole: F.array_join(F.array_sort(F.collect_list(F.when(F.col("whole") == whole, F.col("cam_id")))), ",")
+    cameras = then.agg(names(True).alias("cameras_done"), names(False).alias("cameras_timed_out"))  # as many as a session has cameras
+    first_tag = known.filter("tag_bytes > 0").groupBy("session_id").agg(F.min("at").alias("first_tag"))
+    decision = F.when(F.col("first_tag") <= F.col("decided_at"), "ready").otherwise("tag_required")
+    return cameras.join(first_tag, "session_id", "left").select("session_id", "decided_at", decision.alias("decision"), "cameras_done", "cameras_timed_out")

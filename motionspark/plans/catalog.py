@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import build, links, people, tracks
+from . import build, links, people, sessions, tracks
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "proximity_intervals"
-_MODULES = (build, links, people, tracks)  # importing them registers their queries
+_MODULES = (build, links, people, sessions, tracks)  # importing them registers their queries
 
 
 def queries() -> dict[str, Query]:
