@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lookup
+from ..sources.io import shared_dir
+from ..sources.keyed_table import KeyedTable
 from ..sources.views import table
 from .registry import query
 
@@ -41,3 +45,22 @@ FROM state s JOIN decided USING (session_id) WHERE at_ <= decided_at AND (until_
 def session_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each session of the day may go on, and which cameras it waited for in vain."""
     return lookup.readiness(session_events(spark, sf_dir), BUFFER_MS)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS video_id, 'path/' || o_orderkey AS source_path, o_custkey % 25 AS gym_id, 'ready' AS status, 0 AS version FROM orders WHERE o_orderkey % 3 > 0),
+l AS (SELECT l_orderkey AS video_id, CASE WHEN max(l_returnflag) = 'R' THEN 'expired' ELSE 'ready' END AS status FROM lineitem GROUP BY 1),
+m AS (SELECT video_id, coalesce(source_path, 'made/' || video_id) AS source_path, gym_id, l.status AS s_new, o.status AS s_old, o.video_id IS NULL AS is_new, l.video_id IS NOT NULL AS hit FROM o FULL JOIN l USING (video_id)),
+t AS (SELECT video_id, source_path, gym_id, coalesce(s_new, s_old) AS status, CASE WHEN is_new THEN 1 WHEN hit AND s_new IS DISTINCT FROM s_old THEN 1 ELSE 0 END AS version FROM m)
+SELECT video_id, source_path, coalesce(g.place, t.gym_id) AS gym_id, status, version + CASE WHEN g.place IS NOT NULL AND g.place IS DISTINCT FROM t.gym_id THEN 1 ELSE 0 END AS version
+FROM t LEFT JOIN (SELECT o_orderkey AS v, 100 + o_custkey % 7 AS place FROM orders WHERE o_orderstatus = 'F') g ON g.v = t.video_id""")
+def merged_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of videos (two in three orders), merged with what their lines say, then given their gyms by an update from a join."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    videos = KeyedTable(spark, f"{shared_dir(spark)}/videos-{uuid.uuid4().hex}", ["video_id"])
+    videos.create(o.filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("video_id"), F.concat(F.lit("path/"), F.col("o_orderkey").cast("string")).alias("source_path"), (F.col("o_custkey") % 25).alias("gym_id"), F.lit("ready").alias("status"), F.lit(0).alias("version")), 16)
+    touched = {"version": F.coalesce("old.version", F.lit(0)) + 1}
+    said = li.groupBy(F.col("l_orderkey").alias("video_id")).agg(F.when(F.max("l_returnflag") == "R", "expired").otherwise("ready").alias("status"))
+    videos.merge(said, "lines", defaults={"source_path": F.concat(F.lit("made/"), F.col("change.video_id").cast("string"))}, triggers=touched)
+    places = o.filter("o_orderstatus = 'F'").select("o_orderkey", (100 + F.col("o_custkey") % 7).alias("place"))
+    videos.update_from(places, {"video_id": "o_orderkey"}, {"gym_id": "place"}, "gyms", triggers=touched)
+    return videos.read()
