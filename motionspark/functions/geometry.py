@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,31 @@ def homography(h: list[list[float]], u: Column, v: Column) -> tuple[Column, Colu
     return F.try_divide(q[0], q[2]), F.try_divide(q[1], q[2])
 
 
+def world_to_pixel(h: list[list[float]], x: Column, y: Column, most: float = 10_000.0) -> tuple[Column, Column]:
+    """The way back through a pixel-to-world matrix, whose inverse is taken once; null at infinity and beyond ``most`` pixels."""
+    inverse = np.linalg.inv(np.array(h, float))
+    q = [F.lit(float(r[0])) * x + F.lit(float(r[1])) * y + F.lit(float(r[2])) for r in inverse]
+    u, v = F.try_divide(q[0], q[2]), F.try_divide(q[1], q[2])
+    fine = (F.abs(q[2]) >= 1e-6) & (F.abs(u) <= most) & (F.abs(v) <= most)
+    return F.when(fine, u), F.when(fine, v)
+
+
+def undistort(camera: list[list[float]], lens: list[float], u: Column, v: Column, rounds: int = 30) -> Column:
+    """struct(u, v) of a pixel without its lens's distortion (k1, k2, p1, p2 and perhaps k3), by a fixed-point iteration."""
+    (fx, _, cx), (_, fy, cy) = (list(map(float, r)) for r in camera[:2])
+    k1, k2, p1, p2, k3 = [*map(float, lens), 0.0][:5]
+    x0, y0 = (u - cx) / fx, (v - cy) / fy
+
+    def step(p: Column, _: Column) -> Column:
+        x, y = p["x"], p["y"]
+        r2 = x * x + y * y
+        scale = 1 / (1 + ((k3 * r2 + k2) * r2 + k1) * r2)
+        return F.struct(((x0 - (2 * p1 * x * y + p2 * (r2 + 2 * x * x))) * scale).alias("x"), ((y0 - (p1 * (r2 + 2 * y * y) + 2 * p2 * x * y)) * scale).alias("y"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(x0.alias("x"), y0.alias("y")), step)
+    return F.transform(F.array(found), lambda p: F.struct((p["x"] * fx + cx).alias("u"), (p["y"] * fy + cy).alias("v")))[0]
+
+
 def affine(m: list[list[float]], u: Column, v: Column) -> tuple[Column, Column]:
     return tuple(F.lit(float(r[0])) * u + F.lit(float(r[1])) * v + F.lit(float(r[2])) for r in m)  # type: ignore[return-value]
 

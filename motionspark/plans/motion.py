@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import movement, overlaps
-from ..sources.views import BANK, bank, boxes
+from ..operators import fits, movement, overlaps
+from ..sources.views import BANK, bank, boxes, table
 from .links import MAT
 from .registry import query
 
@@ -86,3 +87,65 @@ SELECT a.tracklet_id, CASE WHEN coalesce(hull, 0) > 1 AND dist / dur > 0.3 AND d
 FROM a JOIN c b ON b.tracklet_id = a.tracklet_id AND b.w = 'b' JOIN c x ON x.tracklet_id = a.tracklet_id AND x.w = 'd' LEFT JOIN ar ON ar.tracklet_id = a.tracklet_id""")
 def movement_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movement.profiles(bank(spark, sf_dir), MAT, 1.0, speeds=(0.3, 300.0), touch=20.0)
+
+
+_PAIRS = "pr AS (SELECT 's' || (l_suppkey % 20) AS key, l_quantity::DOUBLE AS x, l_discount::DOUBLE * 100 AS y, l_quantity::DOUBLE * 2 + l_discount::DOUBLE * 30 + l_tax::DOUBLE * 5 AS u, l_discount::DOUBLE * 200 - l_quantity::DOUBLE + l_linenumber * 0.01 AS v FROM lineitem)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, d, t = (F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("key"), q.alias("x"), (d * 100).alias("y"), (q * 2 + d * 30 + t * 5).alias("u"), (d * 200 - q + F.col("l_linenumber") * 0.01).alias("v"))
+
+
+def _rounded(fit: DataFrame) -> DataFrame:
+    return fit.select("key", "n", *[F.round(c, 5).alias(c) for c in fits.FIT])
+
+
+@query(f"""WITH {_PAIRS}, m AS (SELECT key, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, covar_pop(x, x) AS xx, covar_pop(y, y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, u) AS xu, covar_pop(y, u) AS yu, covar_pop(x, v) AS xv, covar_pop(y, v) AS yv FROM pr GROUP BY 1),
+s AS (SELECT *, xx * yy - xy * xy AS det FROM m), f AS (SELECT key, n, (xu * yy - yu * xy) / det AS a, (yu * xx - xu * xy) / det AS b, (xv * yy - yv * xy) / det AS c, (yv * xx - xv * xy) / det AS d, mx, my, mu, mv FROM s)
+SELECT key, n, round(a, 5) AS a, round(b, 5) AS b, round(mu - a * mx - b * my, 5) AS tx, round(c, 5) AS c, round(d, 5) AS d, round(mv - c * mx - d * my, 5) AS ty FROM f""")
+def affine_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(fits.fit_affine(_pairs(spark, sf_dir), ["key"]))
+
+
+@query()
+def robust_affine_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a tenth of the places moved far away, by samples of three."""
+    moved = _pairs(spark, sf_dir).withColumn("u", F.when(F.pmod(F.xxhash64("x", "y", "u"), F.lit(10)) == 0, F.col("u") + 500).otherwise(F.col("u")))
+    return _rounded(fits.robust_affine(moved, ["key"], 20, 0.5))
+
+
+_CAMERAS = {f"c{i}": [[1.0, 0.01 * i, 3.0 * i], [0.02 * i, 1.0, -2.0 * i], [0.0001 * i, 0.0, 1.0]] for i in range(3)}
+
+
+def _carried_sql() -> str:
+    parts = []
+    for s, h in _CAMERAS.items():
+        for t, g in _CAMERAS.items():
+            if s != t:
+                n = np.linalg.inv(np.array(g)).tolist()
+                row = lambda r, x, y: f"({float(r[0])!r} * {x} + {float(r[1])!r} * {y} + {float(r[2])!r})"
+                world = f"SELECT *, {row(h[0], 'cx', 'cy')} / {row(h[2], 'cx', 'cy')} AS wx, {row(h[1], 'cx', 'cy')} / {row(h[2], 'cx', 'cy')} AS wy FROM m WHERE camera_id = '{s}'"
+                parts.append(f"SELECT frame_index, '{t}' AS camera_id, '{s}' AS source, id, {row(n[0], 'wx', 'wy')} / {row(n[2], 'wx', 'wy')} AS u, {row(n[1], 'wx', 'wy')} / {row(n[2], 'wx', 'wy')} AS v FROM ({world})")
+    return f"""WITH {_B}, m AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM b WHERE x1 IS NOT NULL AND y1 IS NOT NULL), p0 AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT frame_index, camera_id, source, id, u - 5 AS x1, v - 10 AS y1, u + 5 AS x2, v + 10 AS y2 FROM p0 WHERE abs(u) <= 10000 AND abs(v) <= 10000)
+SELECT frame_index, camera_id, source, id, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM p WHERE NOT EXISTS (SELECT 1 FROM b q WHERE q.camera_id = p.camera_id AND q.frame_index = p.frame_index AND {_IOU} / (400 - {_IOU}) > 0.3)"""
+
+
+@query(_carried_sql())
+def carried_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of three cameras as they would lie in the other two, where those have none."""
+    return fits.carried_labels(_boxes(spark, sf_dir), _CAMERAS, 0.3, 20.0).select("frame_index", "camera_id", "source", "id", F.round("x1", 6).alias("x1"), F.round("y1", 6).alias("y1"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS point, (p_partkey % 40)::DOUBLE AS x, (p_partkey // 40)::DOUBLE AS y, 'c' || k AS camera, ((p_partkey * (k + 3) * 7919 + k * 104729) % 100) / 100.0 AS score FROM part, range(5) t(k)),
+c AS (SELECT *, score > 0.7 AS covers, row_number() OVER (PARTITION BY point ORDER BY score DESC, camera) = 1 AS is_primary, count(*) FILTER (score > 0.7) OVER (PARTITION BY point) AS all_ FROM s),
+l AS (SELECT least(2, min(all_)) AS least_ FROM c), k AS (SELECT c.*, least_, is_primary OR (covers AND all_ - covers::INT < least_) AS core FROM c, l),
+z AS (SELECT *, core OR (covers AND EXISTS (SELECT 1 FROM k o WHERE o.core AND o.camera = k.camera AND o.x BETWEEN k.x - 1.5 AND k.x + 1.5 AND o.y BETWEEN k.y - 1.5 AND k.y + 1.5 AND sqrt((o.x - k.x) * (o.x - k.x) + (o.y - k.y) * (o.y - k.y)) <= 1.5)) AS zone FROM k)
+SELECT point, camera, covers, is_primary, zone OR (covers AND NOT zone AND sum((covers AND NOT zone)::INT) OVER (PARTITION BY point ORDER BY camera) <= least_ - count(*) FILTER (zone AND covers) OVER (PARTITION BY point)) AS in_zone FROM z""")
+def coverage_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zones of five cameras over the parts as points of a grid."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    score = ((F.col("p_partkey") * (F.col("k") + 3) * 7919 + F.col("k") * 104729) % 100) / 100
+    s = p.select(F.col("p_partkey").alias("point"), (F.col("p_partkey") % 40).cast("double").alias("x"), F.floor(F.col("p_partkey") / 40).cast("double").alias("y"), F.concat(F.lit("c"), F.col("k").cast("string")).alias("camera"), score.alias("score"))
+    return fits.coverage_zones(s, buffer_m=1.5).select("point", "camera", "covers", "is_primary", "in_zone")
