@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..operators import graph, joins, machines, matches, windows
+from ..operators import endpoints, graph, joins, machines, matches, overlaps, windows
 from ..sources.views import BANK, FRAMES, bank, boxes, frames, spans, SPANS, table
 from .registry import query
 
@@ -116,7 +116,7 @@ def proximity_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def engagement_fsm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = joins.pair_distances(bank(spark, sf_dir))
+    pairs = joins.distances_of_pairs(bank(spark, sf_dir), 120.0)  # who never comes within that is never engaged
     ends = bank(spark, sf_dir).agg(F.min("frame_index"), F.max("frame_index")).first()
     return machines.engagements(pairs, near=120.0, far=200.0, n_start=2, n_end=2, least=1, session=(ends[0] or 0, ends[1] or 0))
 
@@ -148,14 +148,28 @@ def occlusion_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tracklet_id", "frame_index", "span_id", at("x_m").alias("x_m_repaired"), at("y_m").alias("y_m_repaired"), both.alias("is_repaired"))
 
 
+CARRIER_WINDOW = 2
+
+
 def _alive(spark: SparkSession, sf_dir: str, which: int) -> DataFrame:
+    """Ends (3) or starts (2) of runs that meet a carrier on the mat; starts that come in from the border are none."""
     t = run_tables(spark, sf_dir)
-    return joins.alive_near(t[which], t[1], t[0], 40.0)
+    points = t[which]
+    if which == 2:
+        rows = t[0].withColumn("border_px", endpoints.border(F.col("x_m"), F.col("y_m"), 500.0, 100.0))
+        points = points.join(endpoints.crossings(rows, t[1], 48, 5, 15, 10, 3, True).filter("crosses").select("tracklet_id"), "tracklet_id", "left_anti")
+    return joins.alive_near(points, t[1], t[0], 40.0, window=CARRIER_WINDOW, ok=F.col("x_m") > 20)
 
 
-_ALIVE = """SELECT p.run_id AS tracklet_id, c.run_id AS carrier_id, p.frame_index, sqrt((p.x - c.x_m) * (p.x - c.x_m) + (p.y - c.y_m) * (p.y - c.y_m)) AS dist_m
-FROM {points} p JOIN runs c ON p.frame_index = c.frame_index AND p.run_id <> c.run_id
-WHERE sqrt((p.x - c.x_m) * (p.x - c.x_m) + (p.y - c.y_m) * (p.y - c.y_m)) <= 40"""
+_ALIVE = f""", near_ AS (
+  SELECT p.run_id AS tracklet_id, c.run_id AS carrier_id, p.frame_index, sqrt((p.x - c.x_m) * (p.x - c.x_m) + (p.y - c.y_m) * (p.y - c.y_m)) AS dist_m,
+         row_number() OVER (PARTITION BY p.run_id, c.run_id ORDER BY abs(p.frame_index - c.frame_index), c.frame_index) AS n
+  FROM {{points}} p JOIN runs c ON c.x_m > 20 AND c.y_m IS NOT NULL AND c.frame_index BETWEEN p.frame_index - {CARRIER_WINDOW} AND p.frame_index + {CARRIER_WINDOW} AND p.run_id <> c.run_id
+  JOIN run_spans s ON s.run_id = c.run_id AND p.frame_index BETWEEN s.start_frame AND s.end_frame WHERE p.x IS NOT NULL AND p.y IS NOT NULL)
+SELECT tracklet_id, carrier_id, frame_index, dist_m FROM near_ WHERE n = 1 AND dist_m <= 40"""
+_ENTER = """, d_ AS (SELECT run_id, frame_index, start_frame, greatest(0.0, least(x_m, y_m, 500.0 - x_m, 100.0 - y_m)) AS b FROM runs JOIN run_spans USING (run_id) WHERE x_m IS NOT NULL AND y_m IS NOT NULL),
+i_ AS (SELECT run_id, count(*) AS n, arg_min(b, frame_index) AS a, arg_max(b, frame_index) AS z FROM d_ WHERE frame_index < start_frame + 48 GROUP BY 1),
+inner_starts AS (SELECT * FROM run_starts WHERE run_id NOT IN (SELECT run_id FROM i_ WHERE n >= 3 AND (a <= 5 OR (a <= 15 AND z - a >= 10))))"""
 
 
 @query(f"WITH {RUNS} {_ALIVE.format(points='run_ends')}")
@@ -163,7 +177,7 @@ def merge_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alive(spark, sf_dir, 3)
 
 
-@query(f"WITH {RUNS} {_ALIVE.format(points='run_starts')}")
+@query(f"WITH {RUNS}{_ENTER} {_ALIVE.format(points='inner_starts')}")
 def split_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _alive(spark, sf_dir, 2)
 
@@ -274,9 +288,8 @@ i AS (SELECT p.frame_index, p.id AS a_id, q.id AS b_id, greatest(0, least(p.x2,
       FROM b p JOIN b q ON p.frame_index = q.frame_index AND p.camera_id = 'c0' AND q.camera_id = 'c1')
 SELECT frame_index, a_id, b_id, c / (400 - c) AS iou FROM i WHERE c > 0""")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(bank(spark, sf_dir)).select("frame_index", "camera_id", F.struct(F.col("detection_id").alias("id"), "x1", "y1", "x2", "y2").alias("box"))
-    pairs = b.filter("camera_id = 'c0'").select("frame_index", F.col("box").alias("a")).join(b.filter("camera_id = 'c1'").select("frame_index", F.col("box").alias("b")), "frame_index")
-    return pairs.select("frame_index", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), G.iou(F.col("a"), F.col("b")).alias("iou")).filter("iou > 0")
+    b = boxes(bank(spark, sf_dir)).select("frame_index", "camera_id", F.col("detection_id").alias("id"), "x1", "y1", "x2", "y2")
+    return overlaps.overlapping(b.filter("camera_id = 'c0'"), b.filter("camera_id = 'c1'"), ["frame_index"], 0.0, 20.0).select("frame_index", "a_id", "b_id", "iou")
 
 
 _H = [[1.0, 0.05, 3.0], [0.02, 1.1, -4.0], [0.0005, 0.0002, 1.0]]
