@@ -146,11 +146,11 @@ def _sought(h: np.ndarray, found: Words, masks: list[tuple[int, ...]], bits: np.
 
 
 def candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Documents with a window the bitmap may hold: uid (of the row), doc_id, words and those windows."""
+    """Documents with a window the bitmap may hold: uid (of the row), doc_id, words and those windows, the places of equal ones together."""
     lengths = [r[0] for r in seeds.select("size").distinct().collect()]  # fewer than STRETCH values
     masks = sorted({mask for n in lengths for mask in masks_of(n or STRETCH)})
     shared = docs.sparkSession.sparkContext.broadcast(seed_bitmap(seeds))  # 2 MB whatever the benchmark
-    window = pa.list_(pa.struct([("hash", pa.int64()), ("at", pa.int32())]))
+    window = pa.list_(pa.struct([("hash", pa.int64()), ("places", pa.list_(pa.int32()))]))
     fields = pa.schema([("uid", pa.int64()), ("doc_id", pa.int64()), ("words", pa.list_(pa.int32())), ("windows", window)])
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +163,21 @@ def candidates(docs: DataFrame, seeds: DataFrame) -> DataFrame:
                 got, at = _sought(h, found, masks, bits)
                 if not len(got):
                     continue
-                order = np.argsort(at, kind="stable")
-                got, at = got[order], at[order]
                 row = found.row[at]
-                rows, first = np.unique(row, return_index=True)
-                pairs = pa.StructArray.from_arrays([pa.array(got.view(np.int64)), pa.array((at - found.first[row]).astype(np.int32))], ["hash", "at"])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pairs)
+                order = np.lexsort((at, got, row))
+                got, at, row = got[order], at[order], row[order]
+                new = np.ones(len(got), bool)
+                new[1:] = (got[1:] != got[:-1]) | (row[1:] != row[:-1])
+                start = np.flatnonzero(new)
+                rows, first = np.unique(row[start], return_index=True)
+                places = pa.ListArray.from_arrays(pa.array(np.append(start, len(at)).astype(np.int32)), pa.array((at - found.first[row]).astype(np.int32)))
+                pairs = pa.StructArray.from_arrays([pa.array(got[start].view(np.int64)), places], ["hash", "places"])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(start)).astype(np.int32)), pairs)
                 mine = _lists(h, found.first).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array((task << 36) + nth + np.arange(len(rows))), ids.take(pa.array(rows + part.first)), mine, lists], schema=fields)
                 nth += len(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seek, "uid long, doc_id long, words array<int>, windows array<struct<hash:long,at:int>>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(seek, "uid long, doc_id long, words array<int>, windows array<struct<hash:long,places:array<int>>>")
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
@@ -193,17 +197,30 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return int((covered & same).sum()), int(diagonal + low + good[0]), int(diagonal + low + good[-1] + size)
 
 
+def diagonals(places: list[tuple[np.ndarray, np.ndarray]], doc_words: int, item_words: int) -> tuple[np.ndarray, int]:
+    """The distinct differences of places (document's, item's) of equal windows, and how many pairs of places there are.
+
+    The differences are marked in an array of the texts' length, so repeats in both texts cost no memory.
+    """
+    seen, n = np.zeros(doc_words + item_words + 1, bool), 0
+    for doc_at, item_at in places:
+        n += len(doc_at) * len(item_at)
+        for at in item_at:
+            seen[doc_at - at + item_words] = True
+    return np.flatnonzero(seen) - item_words, n
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, matched_words, item_words, doc_start, doc_end (in words) and coverage."""
     small_batches(docs.sparkSession)
     seeds = saved(benchmark_seeds(benchmark), "seeds")
     found = saved(candidates(docs, seeds), "windows")
-    windows = found.select("uid", F.inline("windows")).withColumnRenamed("at", "doc_at")
+    windows = found.select("uid", F.inline("windows"))
     sizes = saved(windows.groupBy("hash").agg(F.count("*").alias("n")), "window-counts")
-    hits = dealt_join(windows, seeds.select("hash", "item_id", "at").distinct(), "hash", sizes, "uid")
-    lines = hits.groupBy("uid", "item_id", (F.col("doc_at") - F.col("at")).alias("diagonal")).count()
-    # a document and an item have no more diagonals than words
-    pairs = lines.groupBy("uid", "item_id").agg(F.collect_list("diagonal").alias("diagonals"), F.sum("count").alias("n_seeds"))
+    # one row a document, item and hash, however often the window repeats in either
+    sought = seeds.groupBy("hash", "item_id").agg(F.collect_set("at").alias("item_places"))
+    hits = dealt_join(windows, sought, "hash", sizes, "uid")
+    pairs = hits.groupBy("uid", "item_id").agg(F.collect_list(F.struct("places", "item_places")).alias("hits"))  # a document's windows at most
     items = word_lists(benchmark.filter("item_id IS NOT NULL"), "item_id").withColumnRenamed("words", "item")
     laid = pairs.join(found.select("uid", "doc_id", "words"), "uid").join(items, "item_id")
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_words", pa.int64()), ("item_words", pa.int64()), ("doc_start", pa.int64()), ("doc_end", pa.int64()), ("n_seeds", pa.int64())])
@@ -213,13 +230,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 doc, item = batch.column("words")[i].values.to_numpy(), batch.column("item")[i].values.to_numpy()
-                tried = [o for d in batch.column("diagonals")[i].as_py() if (o := overlap(doc, item, d))]
+                hits = batch.column("hits")[i].values
+                lines, n = diagonals([(p.values.to_numpy(), q.values.to_numpy()) for p, q in zip(hits.field("places"), hits.field("item_places"), strict=True)], len(doc), len(item))
+                tried = [o for d in lines.tolist() if (o := overlap(doc, item, d))]
                 if tried:
                     matched, start, end = max(tried, key=lambda o: (o[0], -o[1]))
-                    out.append({"doc_id": batch.column("doc_id")[i].as_py(), "item_id": batch.column("item_id")[i].as_py(), "matched_words": matched, "item_words": len(item), "doc_start": start, "doc_end": end, "n_seeds": batch.column("n_seeds")[i].as_py()})
+                    out.append({"doc_id": batch.column("doc_id")[i].as_py(), "item_id": batch.column("item_id")[i].as_py(), "matched_words": matched, "item_words": len(item), "doc_start": start, "doc_end": end, "n_seeds": n})
             yield pa.RecordBatch.from_pylist(out, fields)
 
-    checked = laid.select("doc_id", "item_id", "words", "item", "diagonals", "n_seeds").mapInArrow(verify, "doc_id long, item_id long, matched_words long, item_words long, doc_start long, doc_end long, n_seeds long")
+    checked = laid.select("doc_id", "item_id", "words", "item", "hits").mapInArrow(verify, "doc_id long, item_id long, matched_words long, item_words long, doc_start long, doc_end long, n_seeds long")
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct("matched_words", "n_seeds", "item_words", "doc_start", "doc_end")).alias("b")).select("doc_id", "item_id", "b.*")
     return best.withColumn("coverage", F.col("matched_words") / F.col("item_words"))
 

@@ -57,3 +57,21 @@ def test_a_passage_that_many_documents_hold(spark):
     found = decontam.find_leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     assert found.count() == 3000
     assert found.filter("matched_words = 14").count() == 3000
+
+
+def test_repeats_in_both_texts_make_no_products(spark):
+    """A repeated text against a repeated item: a row a window, and every difference of places once."""
+    docs = spark.createDataFrame([(1, "la di da dum " * 5000), (2, "quite another text of some words that stand alone " * 3)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "la di da dum " * 300)], "item_id long, text string")
+    got = decontam.find_leaks(docs, items).collect()
+    assert [(r.doc_id, r.item_id, r.matched_words, r.item_words) for r in got] == [(1, 7, 1200, 1200)]
+    seeds = decontam.benchmark_seeds(items)
+    windows = decontam.candidates(docs, seeds).selectExpr("inline(windows)")
+    assert windows.count() < 50
+
+
+def test_differences_of_places():
+    rng = np.random.default_rng(2)
+    places = [(rng.integers(0, 50, 9), rng.integers(0, 20, 4)) for _ in range(5)]
+    lines, n = decontam.diagonals(places, 50, 20)
+    assert lines.tolist() == sorted({int(d - i) for p, q in places for d in p for i in q}) and n == 180
