@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,85 +70,8 @@ def graph_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return low.unionAll(span).unionAll(lost)
 
 
-def cheapest_flow(edges: list[tuple[str, str, str, int, float]], source: str = "S", sink: str = "T", reward: float = 0.0) -> list[tuple[str, int]]:
-    """Edges (id, src, dst, capacity, cost) of the cheapest flow of at least one unit.
-
-    Further units follow while a path costs less than ``reward``. Paths are found by successive shortest paths
-    with reduced costs; equal costs go to the edges of the lesser id.
-    """
-    arcs: list[list] = []  # to, room, cost, id or None for a way back
-    out: dict[str, list[int]] = {}
-    for edge_id, src, dst, capacity, cost in sorted(edges):
-        for a, b, room, c, name in ((src, dst, capacity, cost, edge_id), (dst, src, 0, -cost, None)):
-            out.setdefault(a, []).append(len(arcs))
-            out.setdefault(b, [])
-            arcs.append([b, room, c, name])
-    height = dict.fromkeys(out, 0.0)
-    for _ in range(len(out)):  # Bellman-Ford, for negative costs
-        changed = False
-        for a, mine in out.items():
-            for i in mine:
-                b, room, c, _n = arcs[i]
-                if room and (new := height[a] + c) < height[b] - 1e-12:
-                    height[b], changed = new, True
-        if not changed:
-            break
-    units = 0
-    while source in out and sink in out:
-        dist, via, heap = {source: 0.0}, {}, [(0.0, source)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > dist[a] + 1e-12:
-                continue
-            for i in out[a]:
-                b, room, c, _n = arcs[i]
-                if room and (new := d + c + height[a] - height[b]) < dist.get(b, float("inf")) - 1e-12:
-                    dist[b], via[b] = new, i
-                    heapq.heappush(heap, (new, b))
-        if sink not in dist:
-            break
-        price = dist[sink] + height[sink] - height[source]
-        if units and price >= reward:
-            break
-        for n in height:
-            height[n] += dist.get(n, dist[sink])
-        node = sink
-        while node != source:
-            arcs[via[node]][1] -= 1
-            arcs[via[node] ^ 1][1] += 1
-            node = arcs[via[node] ^ 1][0]
-        units += 1
-    return [(a[3], arcs[i ^ 1][1]) for i, a in enumerate(arcs) if a[3] is not None and arcs[i ^ 1][1] > 0]
-
-
-def unit_paths(flow: dict[str, int], ends: dict[str, tuple[str, str]], source: str = "S", sink: str = "T") -> list[list[str]]:
-    """A flow as paths of one unit each; of several edges the one of the least id goes first."""
-    left, paths = dict(flow), []
-    while any(left[e] and ends[e][0] == source for e in left):
-        node, path = source, [source]
-        while node != sink:
-            edge = min(e for e in left if left[e] and ends[e][0] == node)
-            left[edge] -= 1
-            node = ends[edge][1]
-            path.append(node)
-        paths.append(path)
-    return paths
-
-
-def solve(edges: DataFrame, key: str, reward: float = 0.0) -> DataFrame:
-    """Per key the cheapest flow, cut into persons: key, person_id (p0001, ...), step and node. Keys are separate problems."""
-
-    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = list(g[["edge_id", "src", "dst", "capacity", "cost"]].itertuples(index=False, name=None))
-        flow = dict(cheapest_flow(rows, reward=reward))
-        paths = unit_paths(flow, {r[0]: (r[1], r[2]) for r in rows})
-        return pd.DataFrame([(k[0], f"p{i:04d}", j, n) for i, p in enumerate(paths, 1) for j, n in enumerate(p)], columns=[key, "person_id", "step", "node"])
-
-    return edges.groupBy(key).applyInPandas(run, f"{key} string, person_id string, step long, node string")
-
-
 def chains(nodes: DataFrame, key: str, most: float) -> DataFrame:
-    """The rows of :func:`solve` where each node's only way on is the next node of its key and every node is worth a person.
+    """The persons of the cheapest flow (key, person_id, step, node) where each node's only way on is the next node of its key and every node is worth a person.
 
     ``nodes``: key, node, start_frame, end_frame. A chain is cut where log1p of the gap exceeds ``most``, the cost of
     an end and a start; so the choice at each gap is its own. Persons are numbered by their first nodes.

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import build, links, motion, people, sessions, tracks
+from . import build, files, links, motion, people, sessions, tracks
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "proximity_intervals"
-_MODULES = (build, links, motion, people, sessions, tracks)  # importing them registers their queries
+_MODULES = (build, files, links, motion, people, sessions, tracks)  # importing them registers their queries
 
 
 def queries() -> dict[str, Query]:

@@ -36,10 +36,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """None where there is no such table."""
+    """None where there is no such path; whatever else is wrong raises."""
     try:
-        return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
-    except AnalysisException:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -88,6 +90,11 @@ def path_parts(path: Column) -> Column:
     return F.struct(get(1).alias("gym_id"), get(2).alias("camera_id"), get(3).alias("date"), get(4).alias("hour"), get(5).alias("clip_id"))
 
 
+def path_fault(parts: Column, camera: Column) -> Column:
+    """Why a file of a camera does not belong where it lies (``parts`` of :func:`path_parts`); null if it does."""
+    return F.when(parts["clip_id"].isNull(), "unknown_layout").when(parts["camera_id"] != camera, "camera_mismatch").when(parts["hour"].cast("int") > 23, "bad_hour")
+
+
 def pending(found: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What was found and is not yet done."""
     return found.join(done.select(key).distinct(), key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.machines import CADENCE, Cadence
+from ..sources.io import read_or_none
 
 _STATE = "state string, last_try long, last_trigger long, ramp_until long"
 
@@ -41,13 +43,17 @@ def votes(rows: DataFrame, time: str, late: str, window: str) -> DataFrame:
 
 
 def write_once(rows: DataFrame, key: str, path: str, checkpoint: str) -> StreamingQuery:
-    """Append rows whose key the table at ``path`` does not hold yet; a micro-batch that is run again adds nothing."""
+    """Append rows whose key the table at ``path`` does not hold yet; a micro-batch that is run again adds nothing.
+
+    Each micro-batch has a folder of its own, named by the stream's checkpoint and its number, and overwrites that; of the rest of
+    the table it reads the keys. The table has that folder's name as its last column, ``batch``.
+    """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        spark, new = batch.sparkSession, batch.dropDuplicates([key])
-        store = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
-            new = new.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti").select(*batch.columns)
-        new.write.mode("append").parquet(path)
+        mine, new = f"{stream}-{batch_id}", batch.dropDuplicates([key])
+        if (held := read_or_none(batch.sparkSession, path)) is not None and "batch" in held.columns:
+            new = new.join(held.filter(F.col("batch") != mine).select(key), key, "left_anti").select(*batch.columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch={mine}")
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
