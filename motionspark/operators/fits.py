@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import homography, world_to_pixel
+from ..sources.io import cut
 from .overlaps import with_match, yielding
 
 PLACES = ("x", "y", "u", "v")
@@ -81,7 +82,7 @@ def carried_labels(boxes: DataFrame, matrices: dict[str, list[list[float]]], thr
                 half_w, half_h = (F.col("x2") - F.col("x1")) / 2, (F.col("y2") - F.col("y1")) / 2
                 there = seen.withColumn("u", u).withColumn("v", v).dropna(subset=["u", "v"]).select(*keys, F.lit(target).alias("camera_id"), F.col("camera_id").alias("source"), "id", (F.col("u") - half_w).alias("x1"), (F.col("v") - half_h).alias("y1"), (F.col("u") + half_w).alias("x2"), (F.col("v") + half_h).alias("y2"))
                 out = there if out is None else out.unionByName(there)
-    marked = out.withColumn("from", F.col("id")).withColumn("id", F.struct("source", "id"))
+    marked = cut(out).withColumn("from", F.col("id"))  # computed once: the join repeats its sides' expressions.withColumn("id", F.struct("source", "id"))
     known = boxes.withColumn("id", F.struct(F.lit("").alias("source"), "id"))
     return with_match(marked, known, [*keys, "camera_id"], threshold, size, none=True).withColumn("id", F.col("from")).drop("from")
 

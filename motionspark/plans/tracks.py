@@ -192,7 +192,16 @@ def reconnects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.reconnects(ends, starts, 6, 5.0, 1.0)
 
 
-@query()
+_NEW = "frame_index - f >= 3 OR dist_m < d OR (dist_m = d AND tracklet_id < t)"
+
+
+@query(f"""WITH RECURSIVE {RUNS}{_ENTER}, pts AS (WITH {_ALIVE.format(points='inner_starts').lstrip(', ')}),
+o AS (SELECT *, row_number() OVER (PARTITION BY carrier_id ORDER BY frame_index, dist_m, tracklet_id) AS n FROM pts),
+r AS (SELECT carrier_id, n, frame_index AS f, tracklet_id AS t, dist_m AS d, NULL::BIGINT AS ef, NULL::VARCHAR AS et, NULL::DOUBLE AS ed FROM o WHERE n = 1
+  UNION ALL SELECT o.carrier_id, o.n, CASE WHEN {_NEW} THEN frame_index ELSE f END, CASE WHEN {_NEW} THEN tracklet_id ELSE t END, CASE WHEN {_NEW} THEN dist_m ELSE d END,
+    CASE WHEN frame_index - f >= 3 THEN f END, CASE WHEN frame_index - f >= 3 THEN t END, CASE WHEN frame_index - f >= 3 THEN d END FROM r JOIN o ON o.carrier_id = r.carrier_id AND o.n = r.n + 1)
+SELECT carrier_id, ef AS frame_index, et AS tracklet_id, ed AS dist_m FROM r WHERE ef IS NOT NULL
+UNION ALL SELECT carrier_id, f, t, d FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY carrier_id ORDER BY n DESC) = 1)""")
 def split_thinning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return machines.thin(_alive(spark, sf_dir, 2), 3)
 
@@ -277,7 +286,13 @@ def solve_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.chains(ends.select(F.substring_index("tracklet_id", ":", 1).alias("track"), F.col("tracklet_id").alias("node"), "start_frame", "end_frame"), "track", 8.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {BANK}, b AS (SELECT frame_index, detection_id AS id, camera_id, x_m AS x1, y_m AS y1, x_m + 10 AS x2, y_m + 20 AS y2 FROM bank),
+i AS (SELECT p.frame_index, p.id AS a_id, q.id AS b_id, greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) AS c FROM b p JOIN b q ON p.frame_index = q.frame_index AND p.camera_id = 'c0' AND q.camera_id = 'c1'),
+o AS (SELECT frame_index, a_id, b_id, c / (400 - c) AS iou, row_number() OVER (PARTITION BY frame_index ORDER BY c / (400 - c) DESC, a_id, b_id) AS n FROM i WHERE c > 0),
+r AS (SELECT frame_index, n, [a_id] AS la, [b_id] AS lb, true AS taken FROM o WHERE n = 1
+  UNION ALL SELECT o.frame_index, o.n, CASE WHEN list_contains(la, a_id) OR list_contains(lb, b_id) THEN la ELSE list_append(la, a_id) END, CASE WHEN list_contains(la, a_id) OR list_contains(lb, b_id) THEN lb ELSE list_append(lb, b_id) END, NOT (list_contains(la, a_id) OR list_contains(lb, b_id))
+  FROM r JOIN o ON o.frame_index = r.frame_index AND o.n = r.n + 1)
+SELECT frame_index, a_id, b_id, iou FROM o JOIN r USING (frame_index, n) WHERE taken""")
 def greedy_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(bank(spark, sf_dir)).select("frame_index", F.col("detection_id").alias("id"), "x1", "y1", "x2", "y2", "camera_id")
     return machines.greedy_iou(b.filter("camera_id = 'c0'"), b.filter("camera_id = 'c1'"))
@@ -306,7 +321,14 @@ def point_in_mat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames(spark, sf_dir).select("detection_id", G.in_rectangles([(50, 10, 200, 50), (250, 0, 150, 30)], F.col("x_m"), F.col("y_m")).alias("in_mat"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BANK}, o AS (SELECT tracklet_id, frame_index AS f, coalesce(x_m > 400, false) AS trig, coalesce(confidence > 0.9, false) AS hit, row_number() OVER (PARTITION BY tracklet_id ORDER BY frame_index) AS n FROM bank),
+r AS (SELECT tracklet_id, 0::BIGINT AS n, NULL::BIGINT AS f, 'SEEKING' AS state, NULL::BIGINT AS tried, NULL::BIGINT AS triggered, 0::BIGINT AS ramp, false AS due FROM o WHERE n = 1
+  UNION ALL SELECT tracklet_id, n, f, CASE WHEN due AND hit THEN 'VERIFIED' ELSE s2 END, CASE WHEN due THEN f ELSE tried END, lt, ramp, due
+  FROM (SELECT *, tried IS NULL OR f - tried >= CASE WHEN s2 = 'VERIFIED' THEN 30 ELSE 2 END AS due
+    FROM (SELECT *, CASE WHEN s1 = 'RAMP_UP' AND f >= ramp THEN 'VERIFIED' ELSE s1 END AS s2
+      FROM (SELECT tracklet_id, n, f, hit, tried, CASE WHEN counts THEN f ELSE triggered END AS lt, CASE WHEN counts AND state IN ('VERIFIED', 'RAMP_UP') THEN 'RAMP_UP' ELSE state END AS s1, CASE WHEN counts AND state IN ('VERIFIED', 'RAMP_UP') THEN f + 10 ELSE ramp END AS ramp
+        FROM (SELECT o.tracklet_id, o.n, o.f, o.hit, r.state, r.tried, r.triggered, r.ramp, o.trig AND (r.triggered IS NULL OR o.f - r.triggered >= 30) AS counts FROM r JOIN o ON o.tracklet_id = r.tracklet_id AND o.n = r.n + 1)))))
+SELECT tracklet_id, f AS frame_index, due, state FROM r WHERE n > 0""")
 def cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bank(spark, sf_dir).select("tracklet_id", "frame_index", (F.col("x_m") > 400).alias("trigger"), (F.col("confidence") > 0.9).alias("tag_hit"))
     return machines.cadence(rows, k_seek=2, k_verify=30, ramp=10, cooldown=30)
@@ -365,7 +387,16 @@ def redaction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.filter(matches.meets(("x1", "y1", "x2", "y2"), ("cx1", "cy1", "cx2", "cy2"))).select("detection_id", "frame_index", "tracklet_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, o AS (
+  SELECT clip_id, pair_key, match_id, start_frame AS s, end_frame AS e, tags, row_number() OVER (PARTITION BY clip_id, pair_key ORDER BY start_frame, end_frame, match_id) AS n
+  FROM (SELECT 'c' || (a_id % 50) AS clip_id, (b_id % 5) || '|' || (b_id % 7) AS pair_key, l_orderkey || '-' || l_linenumber AS match_id, start_frame, end_frame, CASE WHEN a_id % 3 = 0 THEN 'tag:' || (a_id % 4) ELSE '' END AS tags FROM spans)),
+r AS (SELECT clip_id, pair_key, n, s, e, 1::BIGINT AS m, match_id AS first_, e + 5 AS reach, tags, NULL::BIGINT AS xs, NULL::BIGINT AS xe, NULL::BIGINT AS xm, NULL::VARCHAR AS xf FROM o WHERE n = 1
+  UNION ALL SELECT clip_id, pair_key, n, CASE WHEN j THEN s ELSE s1 END, e1, CASE WHEN j THEN m + 1 ELSE 1 END, CASE WHEN j THEN first_ ELSE f1 END, CASE WHEN j THEN greatest(reach, e1 + 5) ELSE e1 + 5 END, t1,
+    CASE WHEN NOT j THEN s END, CASE WHEN NOT j THEN e END, CASE WHEN NOT j THEN m END, CASE WHEN NOT j THEN first_ END
+  FROM (SELECT r.clip_id, r.pair_key, o.n, r.s, r.e, r.m, r.first_, r.reach, o.s AS s1, o.e AS e1, o.match_id AS f1, o.tags AS t1, o.s - r.e - 1 <= 10 AND greatest(0, o.s - 5) <= r.reach AND NOT (r.tags <> '' AND o.tags <> '' AND r.tags <> o.tags) AS j
+    FROM r JOIN o ON o.clip_id = r.clip_id AND o.pair_key = r.pair_key AND o.n = r.n + 1))
+SELECT clip_id, pair_key, xs AS start_frame, xe AS end_frame, xm AS n_matches, xf AS first_match FROM r WHERE xs IS NOT NULL
+UNION ALL SELECT clip_id, pair_key, s, e, m, first_ FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY clip_id, pair_key ORDER BY n DESC) = 1)""")
 def consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spans(spark, sf_dir)
     m = s.select(F.concat(F.lit("c"), (F.col("a_id") % 50).cast("string")).alias("clip_id"), F.concat_ws("|", (F.col("b_id") % 5).cast("string"), (F.col("b_id") % 7).cast("string")).alias("pair_key"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("match_id"), "start_frame", "end_frame", F.when(F.col("a_id") % 3 == 0, F.concat(F.lit("tag:"), (F.col("a_id") % 4).cast("string"))).otherwise("").alias("tags"))
