@@ -114,9 +114,9 @@ def test_text_after_broken_markup_stays():
 
 @pytest.mark.parametrize("piece", ['<a href="', "<![CDATA[", "</", "<!--", "<?", "<", "<a b=c ", "<a '", "<div>", "<ul><li>", "&#", "<!doctype ", "<a/"])
 @pytest.mark.parametrize("end", ["", '">', "-->"])
-def test_a_megabyte_of_broken_markup_takes_linear_time(piece, end):
+def test_much_broken_markup_takes_linear_time(piece, end):
     import time
 
     began = time.process_time()
-    pages.main_text(piece * (500_000 // len(piece)) + end)
-    assert time.process_time() - began < 8
+    pages.main_text(piece * (250_000 // len(piece)) + end)
+    assert time.process_time() - began < 4
