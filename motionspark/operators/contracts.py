@@ -103,10 +103,19 @@ def first_reason(*checks: tuple[str, Column]) -> Column:
 
 
 def unsorted(df: DataFrame, session: str, order: list[str], arrival: str) -> DataFrame:
-    """Rows that come before their predecessor in a session's order, by the struct of the order's columns."""
-    w = Window.partitionBy(session).orderBy(arrival)
-    rank = F.struct(*order)
-    return df.withColumn("_r", rank).withColumn("_b", F.lag("_r").over(w)).filter(F.col("_r") < F.col("_b")).drop("_r", "_b")
+    """Rows that come before their predecessor in a session's order, by the struct of the order's columns.
+
+    Rows are dealt to ranges of (session, arrival), so no task sorts a whole session; a range's first row of a session is
+    compared with the last one of that session in an earlier range (a row a range and session). Rows of one arrival are in any order.
+    """
+    from ..sources.io import cut
+
+    ranged = cut(df.withColumn("_r", F.struct(*order)).repartitionByRange(session, arrival).withColumn("_p", F.spark_partition_id()))
+    ends = ranged.groupBy(F.col(session).alias("_s"), F.col("_p").alias("_q")).agg(F.max_by("_r", F.struct(arrival, "_r")).alias("_last"))
+    ends = ends.withColumn("_seam", F.lag("_last").over(Window.partitionBy("_s").orderBy("_q"))).drop("_last")
+    before = F.lag("_r").over(Window.partitionBy("_p", session).orderBy(arrival, "_r"))
+    seen = ranged.withColumn("_b", before).join(ends, F.col(session).eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    return seen.filter(F.col("_r") < F.coalesce("_b", "_seam")).drop("_r", "_b", "_p", "_q", "_s", "_seam")
 
 
 def cost_faults(costs: DataFrame) -> DataFrame:

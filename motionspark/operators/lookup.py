@@ -95,6 +95,47 @@ def session_of(clips: DataFrame, schedule: DataFrame, zone: str, before_minutes:
     return found.groupBy(*clips.columns).agg(F.min("entry").alias("entry"))
 
 
+def session_windows(clips: DataFrame, schedule: DataFrame, before_minutes: int = 30) -> DataFrame:
+    """The session each clip belongs to: the first entry of its place's schedule for the clip's weekday there, whose window, from some
+    minutes before it on, holds the clip's time on the wall there. Clips outside every window have no row.
+
+    ``clips``: gym_id, at (UTC, without zone); ``schedule``: gym_id, zone, entry, weekday (Mon .. Sun), start_min, end_min of the day; an end not after
+    the start is on the next day, and a clip after midnight belongs to the windows of its own day only. Adds session_date, session_id
+    and session_end (UTC, by the zone's rules on that day). Clips meet entries by place and weekday.
+    """
+    zones = schedule.groupBy("gym_id").agg(F.min("zone").alias("zone"))
+    local = clips.withColumn("_row", F.struct(*clips.columns)).select("_row", "gym_id", "at").join(zones, "gym_id").withColumn("_local", F.expr("convert_timezone('UTC', zone, at)")).withColumn("weekday", F.date_format("_local", "E"))
+    entries = schedule.select("gym_id", "weekday", "entry", "start_min", F.when(F.col("end_min") <= F.col("start_min"), F.col("end_min") + 1440).otherwise(F.col("end_min")).alias("end_min")).distinct()
+    day = "date_trunc('DAY', _local)"
+    at = lambda minutes: F.expr(f"CAST(timestampadd(MINUTE, {minutes}, {day}) AS TIMESTAMP_NTZ)")
+    met = local.join(entries, ["gym_id", "weekday"]).filter((F.col("_local") >= at(f"start_min - {before_minutes}")) & (F.col("_local") <= at("end_min")))
+    end = F.expr(f"convert_timezone(zone, 'UTC', CAST(timestampadd(MINUTE, end_min, {day}) AS TIMESTAMP_NTZ))")
+    name = F.concat(F.date_format("_local", "yyyy-MM-dd"), F.lit("T"), F.lpad(F.floor(F.col("start_min") / 60).cast("string"), 2, "0"), F.lpad((F.col("start_min") % 60).cast("string"), 2, "0"))
+    hit = F.struct("entry", F.date_format("_local", "yyyy-MM-dd").alias("session_date"), name.alias("session_id"), end.alias("session_end"))
+    first = met.withColumn("_hit", hit).groupBy("_row").agg(F.min("_hit").alias("_hit"), F.count_distinct("_hit").alias("_e"), F.count("*").alias("_n"))  # repeated clips are as many again
+    return first.select(F.explode(F.array_repeat(F.col("_row"), (F.col("_n") / F.col("_e")).cast("int"))).alias("_row"), "_hit").select("_row.*", "_hit.*")
+
+
+def registered_videos(known: DataFrame, paths: DataFrame) -> DataFrame:
+    """Videos after an upload: every known one, and one made for each path that none has (its id from the path), with the gym
+    that the last upload of its path names; an upload without a gym changes none.
+
+    ``known``: video_id (text), path, gym_id; ``paths``: path, gym_id, position (total). Of several known videos of a path only the
+    least id is found and given a gym. Adds created.
+    """
+    said = paths.dropna(subset=["path"]).groupBy("path").agg(F.max_by("gym_id", F.when(F.col("gym_id").isNotNull(), F.col("position"))).alias("_said"))
+    found = known.groupBy("path").agg(F.min("video_id").alias("_found"))
+    old = known.join(found, "path", "left").join(said, "path", "left")
+    kept = old.select("video_id", "path", F.when(F.col("video_id") == F.col("_found"), F.coalesce("_said", "gym_id")).otherwise(F.col("gym_id")).alias("gym_id"), F.lit(False).alias("created"))
+    new = said.join(found, "path", "left_anti").select(F.substring(F.sha2("path", 256), 1, 16).alias("video_id"), "path", F.col("_said").alias("gym_id"), F.lit(True).alias("created"))
+    return kept.unionByName(new)
+
+
+def push_tokens(told: DataFrame, tokens: DataFrame) -> DataFrame:
+    """The devices (clip_id, token) of those who are told of a clip (:func:`audience`), each once; who has none is left out."""
+    return told.join(tokens.dropna(subset=["token"]).select("profile_id", "token"), "profile_id").select("clip_id", "token").distinct()
+
+
 def network_place(requests: DataFrame, networks: DataFrame) -> DataFrame:
     """For each request (ssid, bssid) the place with that very station, else the least place of the network; null if there is none.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .quantiles import exact_quantiles
+
 from .windows import gap_merge
 
 
@@ -43,8 +45,11 @@ def union_boxes(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def crop_plan(boxes: DataFrame, keys: list[str], low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """One crop for a clip: exact quantiles of the boxes' edges, so that a few far boxes do not widen it."""
-    return boxes.groupBy(*keys).agg(*(F.percentile(c, q).alias(c) for c, q in (("x1", low), ("y1", low), ("x2", high), ("y2", high))))
+    """One crop for a clip: exact quantiles of the boxes' edges, so that a few far boxes do not widen it. A clip may have any number of boxes."""
+    sides = {"x1": "low", "y1": "low", "x2": "high", "y2": "high"}
+    flat = boxes.select(*keys, *(F.col(c).cast("double").alias(c) for c in sides)).unpivot(keys, list(sides), "_side", "_value")
+    found = exact_quantiles(flat, [*keys, "_side"], "_value", {"low": low, "high": high})
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("_side") == c, F.col(q))).alias(c) for c, q in sides.items()))
 
 
 def meets(box: tuple[str, str, str, str], crop: tuple[str, str, str, str]) -> Column:

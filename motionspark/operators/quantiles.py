@@ -35,4 +35,10 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[s
         for side, rank in (("l", F.floor(at)), ("h", F.ceil(at))):
             found.append(F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v"))).alias(f"_{side}{i}"))
     out = placed.groupBy(*keys).agg(F.max("_n").alias("n"), *found)
-    return out.select(*keys, "n", *((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)))).alias(name) for i, (name, p) in enumerate(points.items())))
+
+    def between(i: int, share: float) -> Column:
+        at = F.lit(float(share)) * (F.col("n") - 1)
+        low, high = F.col(f"_l{i}"), F.col(f"_h{i}")
+        return F.when(F.floor(at) == F.ceil(at), low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+    return out.select(*keys, "n", *(between(i, p).alias(name) for i, (name, p) in enumerate(points.items())))

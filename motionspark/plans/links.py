@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions.text import frame_ms, joined_id, node_tracklet, string_list
 from ..operators import contracts, endpoints, keyed, lookup, triggers, windows
 from ..sources.views import BANK, CLIPS, FRAMES, VIDEOS, bank, boxes, clips, frames, table, videos
-from .registry import query
+from .registry import SQL, query
 from .tracks import RUNS, run_tables
 
 _SPANS = ", spans AS (SELECT tracklet_id, min(frame_index) AS start_frame, max(frame_index) AS end_frame FROM bank GROUP BY 1)"
@@ -294,6 +294,49 @@ def notify_audience(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.audience(c, people)
 
 
+_ZONES = ["America/New_York", "Europe/Berlin", "Asia/Tokyo"]
+_DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+
+
+@query(f"""WITH s AS (SELECT s_suppkey % 10 AS gym_id, {_ZONES}[s_suppkey % 10 % 3 + 1] AS zone, s_suppkey AS entry, {_DAYS}[(s_suppkey + k) % 7 + 1] AS weekday, 480 + s_suppkey % 6 * 170 AS start_min, (480 + s_suppkey % 6 * 170 + 155) % 1440 AS end_min FROM supplier, (SELECT unnest(range(5)) AS k)),
+z AS (SELECT gym_id, min(zone) AS zone FROM s GROUP BY 1),
+c AS (SELECT event_id, user_id % 10 AS gym_id, zone, timezone(zone, timezone('UTC', date_trunc('minute', ts)::TIMESTAMP)) AS l FROM events JOIN z ON z.gym_id = user_id % 10),
+m AS (SELECT event_id, c.gym_id, c.zone, l, entry, start_min, CASE WHEN end_min <= start_min THEN end_min + 1440 ELSE end_min END AS e FROM c JOIN s ON s.gym_id = c.gym_id AND s.weekday = strftime(l, '%a'))
+SELECT event_id, gym_id, entry, strftime(l, '%Y-%m-%d') AS session_date, strftime(l, '%Y-%m-%d') || 'T' || lpad((start_min // 60)::VARCHAR, 2, '0') || lpad((start_min % 60)::VARCHAR, 2, '0') AS session_id,
+  timezone('UTC', timezone(zone, date_trunc('day', l)::TIMESTAMP + to_minutes(e))) AS session_end
+FROM m WHERE l >= date_trunc('day', l)::TIMESTAMP + to_minutes(start_min - 30) AND l <= date_trunc('day', l)::TIMESTAMP + to_minutes(e) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY entry) = 1""")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions of events at places in three zones, two of which change their clocks."""
+    k, pick = F.col("s_suppkey"), lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    start = 480 + k % 6 * 170
+    s = table(spark, sf_dir, "supplier").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).select((k % 10).alias("gym_id"), pick(_ZONES, k % 10 % 3).alias("zone"), k.alias("entry"), pick(_DAYS, (k + F.col("k")) % 7).alias("weekday"), start.alias("start_min"), ((start + 155) % 1440).alias("end_min"))
+    c = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("gym_id"), F.expr("CAST(date_trunc('MINUTE', CAST(ts AS TIMESTAMP_NTZ)) AS TIMESTAMP_NTZ)").alias("at"))
+    return lookup.session_windows(c, s).drop("at")
+
+
+@query("""WITH k AS (SELECT 'v' || lpad(o_orderkey::VARCHAR, 9, '0') AS video_id, 'p' || (o_orderkey % 1500) AS path, CASE WHEN o_custkey % 3 > 0 THEN o_custkey % 25 END AS gym_id FROM orders WHERE o_orderkey % 2 = 0),
+u AS (SELECT 'p' || (l_partkey * 3) AS path, CASE WHEN l_tax > 0.03 THEN l_suppkey END AS gym_id, (l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey) AS at_ FROM lineitem),
+said AS (SELECT path, arg_max(gym_id, at_) FILTER (gym_id IS NOT NULL) AS said FROM u GROUP BY 1), f AS (SELECT path, min(video_id) AS found FROM k GROUP BY 1)
+SELECT video_id, k.path, CASE WHEN video_id = found THEN coalesce(said, gym_id) ELSE gym_id END AS gym_id, false AS created FROM k JOIN f USING (path) LEFT JOIN said USING (path)
+UNION ALL SELECT substring(sha256(path), 1, 16), path, said, true FROM said WHERE path NOT IN (SELECT path FROM k)""")
+def registered_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the orders are videos; lines are uploads that find them by path or make new ones, and may name a gym."""
+    o, li, s = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), lambda c: c.cast("string")
+    known = o.filter("o_orderkey % 2 = 0").select(F.concat(F.lit("v"), F.lpad(s(F.col("o_orderkey")), 9, "0")).alias("video_id"), F.concat(F.lit("p"), s(F.col("o_orderkey") % 1500)).alias("path"), F.when(F.col("o_custkey") % 3 > 0, F.col("o_custkey") % 25).alias("gym_id"))
+    paths = li.select(F.concat(F.lit("p"), s(F.col("l_partkey") * 3)).alias("path"), F.when(F.col("l_tax") > 0.03, F.col("l_suppkey")).alias("gym_id"), F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("position"))
+    return lookup.registered_videos(known, paths)
+
+
+@query(f"""WITH told AS ({SQL["notify_audience"]}), t AS (SELECT c_custkey AS profile_id, 't' || (c_custkey % 400) AS token FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, 'second' || c_custkey FROM customer WHERE c_custkey % 4 = 0)
+SELECT DISTINCT clip_id, token FROM told JOIN t USING (profile_id)""")
+def push_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The devices to tell of each clip; some have none, some two, and some share one."""
+    c, s = table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string")
+    first = c.filter("c_custkey % 5 > 0").select(F.col("c_custkey").alias("profile_id"), F.concat(F.lit("t"), (F.col("c_custkey") % 400).cast("string")).alias("token"))
+    second = c.filter("c_custkey % 4 = 0").select(F.col("c_custkey").alias("profile_id"), F.concat(F.lit("second"), s).alias("token"))
+    return lookup.push_tokens(notify_audience(spark, sf_dir), first.union(second))
+
+
 @query(f"WITH {CLIPS} SELECT clip_id, a_tag FROM clips WHERE video_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') QUALIFY row_number() OVER (PARTITION BY a_tag ORDER BY created_at, clip_id) <= 2")
 def next_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = videos(spark, sf_dir).filter("status = 'F'")

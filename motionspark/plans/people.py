@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import short_id, tag_key
 from ..operators import contracts, identity, joins, lookup, matches, windows
+from ..operators.quantiles import exact_quantiles
 from ..sources.views import BANK, CLIPS, FRAMES, HISTS, PLACES, VIDEOS, bank, boxes, clips, frames, histograms, places, table, videos
 from .registry import query
 
@@ -209,7 +210,11 @@ def pr_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {FRAMES} SELECT tag_id, floor(x_m / 50)::BIGINT AS bin, count(*) AS n, round(avg(y_m), 6) AS mean, median(y_m) AS median, round(stddev_samp(y_m), 6) AS std FROM frames GROUP BY 1, 2""")
 def binned_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).groupBy("tag_id", F.floor(F.col("x_m") / 50).cast("long").alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg("y_m"), 6).alias("mean"), F.median("y_m").alias("median"), F.round(F.stddev_samp("y_m"), 6).alias("std"))
+    rows = frames(spark, sf_dir).select("tag_id", F.floor(F.col("x_m") / 50).cast("long").alias("bin"), "y_m")
+    stats = rows.groupBy("tag_id", "bin").agg(F.count("*").alias("n"), F.round(F.avg("y_m"), 6).alias("mean"), F.round(F.stddev_samp("y_m"), 6).alias("std"))
+    middle = exact_quantiles(rows, ["tag_id", "bin"], "y_m", {"median": 0.5})
+    same = F.col("s.tag_id").eqNullSafe(F.col("m.tag_id")) & F.col("s.bin").eqNullSafe(F.col("m.bin"))
+    return stats.alias("s").join(middle.alias("m"), same, "left").select("s.*", "m.median")
 
 
 @query(f"""WITH {BANK}, t AS (SELECT tracklet_id, frame_index::DOUBLE AS s FROM bank WHERE x_m > 60),
