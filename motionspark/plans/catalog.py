@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import build, cameras, evidence, files, links, motion, people, records, sessions, tracks
+from . import build, cameras, evidence, files, links, motion, people, records, runs, sessions, tracks
 from .registry import QUERIES, SQL, Query
 
 FLAGSHIP = "proximity_intervals"
-_MODULES = (build, cameras, evidence, files, links, motion, people, records, sessions, tracks)  # importing them registers their queries
+_MODULES = (build, cameras, evidence, files, links, motion, people, records, runs, sessions, tracks)  # importing them registers their queries
 
 
 def queries() -> dict[str, Query]:
