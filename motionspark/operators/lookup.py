@@ -104,7 +104,8 @@ def session_windows(clips: DataFrame, schedule: DataFrame, before_minutes: int =
     and session_end (UTC, by the zone's rules on that day). Clips meet entries by place and weekday.
     """
     zones = schedule.groupBy("gym_id").agg(F.min("zone").alias("zone"))
-    local = clips.withColumn("_row", F.struct(*clips.columns)).select("_row", "gym_id", "at").join(zones, "gym_id").withColumn("_local", F.expr("convert_timezone('UTC', zone, at)")).withColumn("weekday", F.date_format("_local", "E"))
+    copies = clips.groupBy(*clips.columns).agg(F.count("*").alias("_n"))  # repeated clips are as many again
+    local = copies.select(F.struct(*clips.columns).alias("_row"), "_n", "gym_id", "at").join(zones, "gym_id").withColumn("_local", F.expr("convert_timezone('UTC', zone, at)")).withColumn("weekday", F.date_format("_local", "E"))
     entries = schedule.select("gym_id", "weekday", "entry", "start_min", F.when(F.col("end_min") <= F.col("start_min"), F.col("end_min") + 1440).otherwise(F.col("end_min")).alias("end_min")).distinct()
     day = "date_trunc('DAY', _local)"
     at = lambda minutes: F.expr(f"CAST(timestampadd(MINUTE, {minutes}, {day}) AS TIMESTAMP_NTZ)")
@@ -112,8 +113,8 @@ def session_windows(clips: DataFrame, schedule: DataFrame, before_minutes: int =
     end = F.expr(f"convert_timezone(zone, 'UTC', CAST(timestampadd(MINUTE, end_min, {day}) AS TIMESTAMP_NTZ))")
     name = F.concat(F.date_format("_local", "yyyy-MM-dd"), F.lit("T"), F.lpad(F.floor(F.col("start_min") / 60).cast("string"), 2, "0"), F.lpad((F.col("start_min") % 60).cast("string"), 2, "0"))
     hit = F.struct("entry", F.date_format("_local", "yyyy-MM-dd").alias("session_date"), name.alias("session_id"), end.alias("session_end"))
-    first = met.withColumn("_hit", hit).groupBy("_row").agg(F.min("_hit").alias("_hit"), F.count_distinct("_hit").alias("_e"), F.count("*").alias("_n"))  # repeated clips are as many again
-    return first.select(F.explode(F.array_repeat(F.col("_row"), (F.col("_n") / F.col("_e")).cast("int"))).alias("_row"), "_hit").select("_row.*", "_hit.*")
+    first = met.withColumn("_hit", hit).groupBy("_row", "_n").agg(F.min("_hit").alias("_hit"))
+    return first.select(F.explode(F.array_repeat(F.col("_row"), F.col("_n").cast("int"))).alias("_row"), "_hit").select("_row.*", "_hit.*")
 
 
 def registered_videos(known: DataFrame, paths: DataFrame) -> DataFrame:
