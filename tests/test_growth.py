@@ -57,3 +57,34 @@ def test_reconnects_meet_in_cells_only(spark):
     assert any("Join" in line and "_cx" in line for line in plan(got))
     want = {(e[0], s[0]) for e in ends for s in starts if 0 < s[1] - e[1] <= 6 and ((e[2] - s[2]) ** 2 + (e[3] - s[3]) ** 2) ** 0.5 / (s[1] - e[1]) <= 5.0}
     assert sorted((r.src, r.dst) for r in got.collect()) == sorted(want) and want
+
+
+def test_windows_of_many_entries_meet_a_clip_once(spark):
+    from datetime import datetime
+
+    from motionspark.operators import lookup
+
+    entries = [("g", "Europe/Berlin", i, "Wed", 600, 700) for i in range(40, 0, -1)]
+    schedule = spark.createDataFrame(entries, "gym_id string, zone string, entry long, weekday string, start_min int, end_min int")
+    clips = spark.createDataFrame([("k", "g", datetime(2024, 1, 3, 9, 30))], "clip_id string, gym_id string, at timestamp_ntz")
+    got = lookup.session_windows(clips, schedule)
+    assert [r.entry for r in got.collect()] == [1]
+    text = "\n".join(plan(got))
+    assert "min(entry" in text
+
+
+def boxes(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.randrange(2), i, x := rng.randrange(300) / 10, y := rng.randrange(300) / 10, x + 10, y + 20, rng.randrange(9)) for i in range(n)]
+    return spark.createDataFrame(rows, "frame long, id long, x1 double, y1 double, x2 double, y2 double, score long")
+
+
+def test_suppression_and_free_entries_pass_by_without_pairs(spark):
+    from motionspark.operators import overlaps
+
+    kept = overlaps.suppress(boxes(spark, 500), ["frame"], "score", 0.05, 20.0)
+    assert not any("_cx" in line for line in plan(kept)) and 0 < kept.count() < 100
+    ends = boxes(spark, 200).selectExpr("frame AS g", "id", "id AS place", "x1 AS x", "y1 AS y")
+    got = overlaps.nearest_free(ends, ends.selectExpr("g", "id + 1000 AS id", "place", "x + 0.5 AS x", "y"), ["g"], 12.0)
+    assert not any("Join" in line for line in plan(got))
+    assert got.count() == len({r.entry_id for r in got.collect()}) > 150
