@@ -88,3 +88,15 @@ def test_suppression_and_free_entries_pass_by_without_pairs(spark):
     got = overlaps.nearest_free(ends, ends.selectExpr("g", "id + 1000 AS id", "place", "x + 0.5 AS x", "y"), ["g"], 12.0)
     assert not any("Join" in line for line in plan(got))
     assert got.count() == len({r.entry_id for r in got.collect()}) > 150
+
+
+def test_who_is_told_once_and_on_which_devices(spark):
+    from motionspark.operators import lookup
+
+    clips = spark.createDataFrame([("k", "g", 1, 2, None, None, "collision_flagged"), ("k", "g", 1, 3, None, None, "collision_flagged"), ("m", "g", 1, 2, 7, 8, "created")], "clip_id string, gym_id string, a_tag long, b_tag long, a_profile long, b_profile long, status string")
+    people = spark.createDataFrame([("g", 1, 10), ("g", 1, 10), ("g", 2, 10), ("g", 2, 11), ("g", 3, 12), ("h", 1, 13)], "gym_id string, tag_id long, profile_id long")
+    told = lookup.audience(clips, people)
+    assert sorted(map(tuple, told.collect())) == [("k", 10), ("k", 11), ("k", 12), ("m", 7), ("m", 8)]
+    tokens = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b"), (12, "c"), (7, "a"), (8, None)], "profile_id long, token string")
+    got = lookup.audience_tokens(clips, people, tokens)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lookup.push_tokens(told, tokens).collect())) == [("k", "a"), ("k", "b"), ("k", "c"), ("m", "a")]
