@@ -100,3 +100,22 @@ def test_who_is_told_once_and_on_which_devices(spark):
     tokens = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b"), (12, "c"), (7, "a"), (8, None)], "profile_id long, token string")
     got = lookup.audience_tokens(clips, people, tokens)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lookup.push_tokens(told, tokens).collect())) == [("k", "a"), ("k", "b"), ("k", "c"), ("m", "a")]
+
+
+def test_births_are_not_sought_through_the_driver(spark):
+    from motionspark.operators import endpoints
+
+    starts = spark.range(50).selectExpr("'t' || id AS tracklet_id", "id % 7 AS frame_index", "CAST(id AS double) AS x", "1.0D AS y")
+    got = endpoints.births_nearby(starts, 2, 5.0)
+    assert "Broadcast" not in "\n".join(plan(got))
+    want = {f"t{i}": sum(i != j and abs(i % 7 - j % 7) <= 2 and abs(i - j) <= 5 for j in range(50)) for i in range(50)}
+    assert {r.tracklet_id: r.n_births for r in got.collect()} == want
+
+
+def test_tracks_seen_too_briefly_meet_nobody(spark):
+    from motionspark.operators import triggers
+
+    rows = [(f, t, 0.0, 0.0, 10.0, 10.0) for f in range(6) for t in ("a", "b")] + [(f, f"x{f}", 0.0, 0.0, 10.0, 10.0) for f in range(6)]
+    got = triggers.sustained_overlap(spark.createDataFrame(rows, "frame_index long, tracklet_id string, x1 double, y1 double, x2 double, y2 double"), [], 0.2, 2, 10.0)
+    assert any("_e" in line and "Filter" in line for line in plan(got))
+    assert [(r.frame_index, r.a_id, r.b_id) for r in got.collect()] == [(1, "a", "b")]
