@@ -1,7 +1,7 @@
 """How a track moves: extent, speed, stillness, and how it meets the edge of a mat.
 
-Rows: tracklet_id, frame_index, x_m, y_m. The extent is the area of the convex hull; hulls merge, so each task keeps the hull
-of the points it has seen of a track and hulls of hulls are taken after one shuffle.
+Rows: tracklet_id, frame_index, x_m, y_m. The extent is the area of the convex hull; a track's rows pass by
+in one task, which holds at most a few thousand of its points, or their hull.
 
 Defined cases: rows without coordinates count for nothing; tracks of fewer than two other rows are left out; fewer than three
 distinct points, or points on a line, have no extent; a track that does not move meets no edge; an empty table gives no rows.
@@ -25,19 +25,19 @@ HELD = 4096
 
 def hull(points: np.ndarray) -> np.ndarray:
     """The corners of the convex hull, in order; by the monotone chain."""
-    points = np.unique(points, axis=0)
-    if len(points) < 3:
-        return points
-
-    def half(rows: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+    corners = sorted(set(map(tuple, points.tolist())))
+    if len(corners) < 3:
+        return np.array(corners, float).reshape(-1, 2)
+
+    def half(rows: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        out: list[tuple[float, float]] = []
+        for x, y in rows:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
                 out.pop()
-            out.append(p)
+            out.append((x, y))
         return out
 
-    return np.array(half(points)[:-1] + half(points[::-1])[:-1])
+    return np.array(half(corners)[:-1] + half(corners[::-1])[:-1])
 
 
 def polygon_area(corners: np.ndarray) -> float:
@@ -50,30 +50,27 @@ def polygon_area(corners: np.ndarray) -> float:
 def hull_areas(rows: DataFrame) -> DataFrame:
     """tracklet_id and hull_m2, the area of the convex hull of each track's points."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for t, g in b.groupby("tracklet_id", sort=False):
-                h = hull(g[["x", "y"]].to_numpy(float))
-                yield pd.DataFrame({"tracklet_id": t, "x": h[:, 0], "y": h[:, 1]})
-
-    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pass_by(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         track, held = None, np.zeros((0, 2))
         for b in batches:
-            out = []
-            for t, g in b.groupby("tracklet_id", sort=False):
-                if t != track:
+            out, names, places = [], b["tracklet_id"].to_numpy(), b[["x", "y"]].to_numpy(float)
+            first = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+            for i, j in zip(first, first[1:], strict=False):
+                if i == j:
+                    continue
+                if names[i] != track:
                     if track is not None:
                         out.append((track, polygon_area(hull(held))))
-                    track, held = t, np.zeros((0, 2))
-                held = np.concatenate([held, g[["x", "y"]].to_numpy(float)])
+                    track, held = names[i], places[i:j]
+                else:
+                    held = np.concatenate([held, places[i:j]])
                 held = hull(held) if len(held) > HELD else held
             yield pd.DataFrame(out, columns=["tracklet_id", "hull_m2"])
         if track is not None:
             yield pd.DataFrame([(track, polygon_area(hull(held)))], columns=["tracklet_id", "hull_m2"])
 
     points = rows.dropna(subset=["tracklet_id", "x_m", "y_m"]).select("tracklet_id", F.col("x_m").cast("double").alias("x"), F.col("y_m").cast("double").alias("y"))
-    corners = points.mapInPandas(partial, "tracklet_id string, x double, y double")
-    return corners.repartition("tracklet_id").sortWithinPartitions("tracklet_id").mapInPandas(final, "tracklet_id string, hull_m2 double")
+    return points.repartition("tracklet_id").sortWithinPartitions("tracklet_id").mapInPandas(pass_by, "tracklet_id string, hull_m2 double")
 
 
 def angle_between(ax: Column, ay: Column, bx: Column | float, by: Column | float) -> Column:

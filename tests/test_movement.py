@@ -84,3 +84,10 @@ def test_crossings(spark):
 
 def test_no_rows(spark):
     assert movement.profiles(spark.createDataFrame([], ROW), ROOM, 30.0).count() == 0
+
+
+def test_hulls_are_taken_once(spark):
+    rows = spark.createDataFrame([("t", i, float(i % 7), float(i % 5)) for i in range(50)], ROW)
+    got = movement.hull_areas(rows)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1  # not of each task's rows, a few a track, too
+    assert [tuple(r) for r in got.collect()] == [("t", 24.0)]
