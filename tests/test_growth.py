@@ -119,3 +119,43 @@ def test_tracks_seen_too_briefly_meet_nobody(spark):
     got = triggers.sustained_overlap(spark.createDataFrame(rows, "frame_index long, tracklet_id string, x1 double, y1 double, x2 double, y2 double"), [], 0.2, 2, 10.0)
     assert any("_e" in line and "Filter" in line for line in plan(got))
     assert [(r.frame_index, r.a_id, r.b_id) for r in got.collect()] == [(1, "a", "b")]
+
+
+def test_intervals_meet_once_for_both_directions(spark):
+    from motionspark.operators import identity
+
+    rng = random.Random(4)
+    rows = [(f"t{i}", rng.choice("xy"), 2, 2.0, 1.0, s := rng.randrange(40), s + rng.randrange(5)) for i in range(80)]
+    votes = spark.createDataFrame(rows, "tracklet_id string, tag_id string, votes int, weight double, max_conf double, first_frame int, last_frame int")
+    want = sorted((a[1], a[0], b[0]) for a in rows for b in rows if a[0] != b[0] and a[1] == b[1] and a[5] <= b[6] and b[5] <= a[6])
+    for width in (1, 3, 24):
+        got = identity.tag_conflicts(votes, lambda s: joins.interval_overlaps(s, ["tag_id"], "tracklet_id", width))
+        assert sum("Join" in line for line in plan(got)) == 1
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_edges_of_a_promotion_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from motionspark.operators import graph
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x: int) -> int:
+        made.add(1)
+        return x
+
+    edges = spark.range(10).select(F.udf(counted, "long")("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.promote(spark.range(1).select(F.col("id").alias("node")), edges)
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(11)]
+    assert made.value == 10
+
+
+def test_a_box_looks_for_one_match_only(spark):
+    from motionspark.operators import overlaps
+
+    a, b = boxes(spark, 200), boxes(spark, 150).selectExpr("frame", "id + 1000 AS id", "x1 + 3 AS x1", "y1", "x2 + 3 AS x2", "y2")
+    hit = {(r.frame, r.a_id) for r in overlaps.overlapping(a, b, ["frame"], 0.3, 20.0).collect()}
+    got = overlaps.with_match(a, b, ["frame"], 0.3, 20.0)
+    assert not any("_cx" in line for line in plan(got))
+    assert {(r.frame, r.id) for r in got.collect()} == hit and hit
