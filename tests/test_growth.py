@@ -159,3 +159,14 @@ def test_a_box_looks_for_one_match_only(spark):
     got = overlaps.with_match(a, b, ["frame"], 0.3, 20.0)
     assert not any("_cx" in line for line in plan(got))
     assert {(r.frame, r.id) for r in got.collect()} == hit and hit
+
+
+def test_spans_are_dealt_to_as_many_tasks_as_they_need(spark):
+    from motionspark.operators import matches
+    from motionspark.sources import io, views
+
+    assert io.dealt(spark.range(10), "id", n=3_000_001).rdd.getNumPartitions() == 7
+    spans = views.spans(spark, "/root/testdata/sf0.001")
+    seeds = matches.cap2_seeds(spans.selectExpr("l_orderkey AS node_id", "b_id AS person_id", "start_frame", "end_frame"))
+    shuffles = [line for line in plan(seeds) if "Exchange hashpartitioning" in line]
+    assert len(shuffles) == 2 and all("REPARTITION_BY_NUM" in line for line in shuffles)
