@@ -109,6 +109,6 @@ def manifest_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     contract = F.struct(row.alias("clip_row"), F.when(F.col("l_discount") > 0.05, F.array(F.lit("a"), F.lit("b"))).alias("log_events"))
     li = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("e"), F.concat_ws("-", "l_orderkey", "l_linenumber")).alias("export_id"), F.concat(F.lit("cam"), (F.col("l_suppkey") % 4).cast("string")).alias("camera_id"), F.when(F.col("l_suppkey") % 3 > 0, put("g", "l_suppkey")).alias("gym_id"), F.when(F.col("l_returnflag") == "A", "no_matches").alias("status"), F.struct(put("in/", "l_partkey").alias("input_video_path"), contract.alias("uploader_contract")).alias("inputs"))
     path = f"{io.shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
-    io.write_jsonl(li, path)
+    io.write_jsonl(li, path, compression="gzip")
     out = records.manifest_clips(spark.read.text(path))
     return out.select("export_id", "camera_id", "gym_id", "input_video_path", "local_output_path", "storage_bucket", "storage_object_path", F.array_join("source_video_paths", ",").alias("sources"), F.size("log_events").alias("n_events"))

@@ -170,3 +170,17 @@ def test_spans_are_dealt_to_as_many_tasks_as_they_need(spark):
     seeds = matches.cap2_seeds(spans.selectExpr("l_orderkey AS node_id", "b_id AS person_id", "start_frame", "end_frame"))
     shuffles = [line for line in plan(seeds) if "Exchange hashpartitioning" in line]
     assert len(shuffles) == 2 and all("REPARTITION_BY_NUM" in line for line in shuffles)
+
+
+def test_manifests_are_written_compressed(spark):
+    from pathlib import Path
+
+    from motionspark.plans import catalog
+    from motionspark.sources import io
+
+    shared = Path(io.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.glob("manifest-*"))
+    assert catalog.queries()["manifest_clips"](spark, "/root/testdata/sf0.001").count() > 0
+    (made,) = set(shared.glob("manifest-*")) - before
+    names = [p.name for p in made.glob("part-*")]
+    assert names and all(n.endswith(".gz") for n in names)
\ No newline at end of file
