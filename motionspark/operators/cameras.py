@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..sources.io import cut
 from .quantiles import exact_quantiles
 
 
@@ -37,8 +38,8 @@ def pair_agreement(errors: DataFrame, least: int = 2) -> DataFrame:
     A row a pair of cameras, also of those that share nothing. Errors meet as counts of equal values, once for each other camera
     that knows the edge.
     """
-    values = errors.groupBy("camera_id", "edge", "error_m").agg(F.count("*").alias("c"))
-    known = errors.groupBy("camera_id", "edge").agg(F.count("*").alias("n"))
+    values = cut(errors.groupBy("camera_id", "edge", "error_m").agg(F.count("*").alias("c")))  # made once: it is looked at several times
+    known = cut(values.groupBy("camera_id", "edge").agg(F.sum("c").alias("n")))
     side = lambda s: known.select(F.col("camera_id").alias(f"camera_{s}"), "edge", F.col("n").alias(f"n_{s}"))
     shared = side("a").join(side("b"), "edge").filter("camera_a < camera_b")
     counted = shared.filter((F.col("n_a") >= least) & (F.col("n_b") >= least))

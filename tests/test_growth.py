@@ -183,4 +183,20 @@ def test_manifests_are_written_compressed(spark):
     assert catalog.queries()["manifest_clips"](spark, "/root/testdata/sf0.001").count() > 0
     (made,) = set(shared.glob("manifest-*")) - before
     names = [p.name for p in made.glob("part-*")]
-    assert names and all(n.endswith(".gz") for n in names)
\ No newline at end of file
+    assert names and all(n.endswith(".gz") for n in names)
+
+
+def test_errors_of_cameras_are_made_once(spark):
+    from pyspark.sql import functions as F
+
+    from motionspark.operators import cameras
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(x: float) -> float:
+        made.add(1)
+        return x
+
+    errors = spark.range(40).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("camera_id"), F.lit("e").alias("edge"), F.udf(counted, "double")(F.col("id").cast("double")).alias("error_m"))
+    assert [tuple(r) for r in cameras.pair_agreement(errors).collect()] == [("c0", "c1", 1, 40, 19.5, 37.05, 39.0)]
+    assert made.value == 40
