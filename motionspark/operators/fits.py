@@ -72,7 +72,7 @@ def robust_affine(pairs: DataFrame, keys: list[str], tries: int = 100, within: f
 def carried_labels(boxes: DataFrame, matrices: dict[str, list[list[float]]], threshold: float = 0.3, size: float = 50.0, keys: tuple[str, ...] = ("frame_index",)) -> DataFrame:
     """Each camera's boxes (id, camera_id, sides) in every other camera: of the same size, about where the box's centre lies there, unless a
     box that the other camera has at that frame overlaps it by more than ``threshold``. ``matrices``: pixels to the ground, by camera."""
-    out = None
+    boxes, out = cut(boxes), None  # made once, not for every two cameras
     for source, h in matrices.items():
         wx, wy = homography(h, (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2)
         seen = boxes.filter(F.col("camera_id") == source).withColumn("wx", wx).withColumn("wy", wy)
@@ -82,9 +82,7 @@ def carried_labels(boxes: DataFrame, matrices: dict[str, list[list[float]]], thr
                 half_w, half_h = (F.col("x2") - F.col("x1")) / 2, (F.col("y2") - F.col("y1")) / 2
                 there = seen.withColumn("u", u).withColumn("v", v).dropna(subset=["u", "v"]).select(*keys, F.lit(target).alias("camera_id"), F.col("camera_id").alias("source"), "id", (F.col("u") - half_w).alias("x1"), (F.col("v") - half_h).alias("y1"), (F.col("u") + half_w).alias("x2"), (F.col("v") + half_h).alias("y2"))
                 out = there if out is None else out.unionByName(there)
-    marked = cut(out).withColumn("from", F.col("id"))  # computed once: the join repeats its sides' expressions.withColumn("id", F.struct("source", "id"))
-    known = boxes.withColumn("id", F.struct(F.lit("").alias("source"), "id"))
-    return with_match(marked, known, [*keys, "camera_id"], threshold, size, none=True).withColumn("id", F.col("from")).drop("from")
+    return with_match(cut(out), boxes, [*keys, "camera_id"], threshold, size, none=True, own=("source", "id"))  # cut: the join repeats its sides' expressions
 
 
 def coverage_zones(scores: DataFrame, least: int | None = None, threshold: float = 0.7, buffer_m: float = 1.0) -> DataFrame:
