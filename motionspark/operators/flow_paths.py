@@ -6,8 +6,9 @@ sends it to another that is still free. Paths are numbered by their first units
 of a walk that takes one after another.
 
 Where a node has one unit in and one out nothing has to be decided, so runs of such units are contracted first, by pointer
-doubling: a run of n units takes log n joins. Then nodes with choices are settled, all those at once whose incoming runs
-have their numbers: as many rounds as choices follow one another on a path, each over the runs it reaches.
+doubling: a run of n units takes log n joins of those units only. Then nodes with choices are settled, all those at once whose
+incoming runs have their numbers: as many rounds as choices follow one another on a path. A unit is known by the node it leaves
+and its number there; the table of units lies in buckets of these, so a round shuffles only the runs that have just arrived.
 
 Defined cases: edges without a positive flow are no part of it; of a node's units that have no partner the path ends there, or
 none begins; units that no path from SOURCE reaches are left out, as are nodes that wait for such a unit; an empty table gives
@@ -16,13 +17,14 @@ no rows. The units of one node are ordered in one task; a node's capacity bounds
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.io import cut
+from ..sources.io import cut, shared_dir
 
 LATE = 10**12
 
@@ -39,49 +41,53 @@ def numbered(rows: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def units(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """unit (its order: the start of the node it leads to, edge_id, copy), u and v; ``edges`` (edge_id, u, v, flow)."""
-    start = nodes.select(F.col("node_id").alias("v"), "start_frame")
-    some = edges.filter("flow > 0").join(start, "v", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("flow").cast("int"))))
-    return some.select(F.struct(F.coalesce("start_frame", F.lit(LATE)).cast("long").alias("start"), F.col("edge_id").alias("edge_id"), F.col("copy").alias("copy")).alias("unit"), "u", "v")
-
-
-def runs(all_units: DataFrame) -> DataFrame:
-    """unit, u, v, ``head`` (the first unit of its run) and ``step`` in it (from 0): a run goes on where a node has one unit in and one out."""
-    ends = ("SOURCE", "SINK")
-    into = all_units.filter(~F.col("v").isin(*ends)).groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"), F.min("unit").alias("before"))
-    out = all_units.filter(~F.col("u").isin(*ends)).groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n_out"), F.min("unit").alias("unit"))
-    plain = into.join(out, "node").filter("n_in = 1 AND n_out = 1").select("unit", "before")
-    now = cut(all_units.join(plain, "unit", "left").withColumn("step", F.when(F.col("before").isNull(), 0).otherwise(1).cast("long")).withColumn("head", F.coalesce("before", "unit")))
-    now, open_ = now.withColumn("done", F.col("before").isNull()).drop("before"), -1
-    while True:  # each unit points 2 ** i units back, or to its run's head
-        back = now.select(F.col("unit").alias("head"), F.col("head").alias("_head"), F.col("step").alias("_step"), F.col("done").alias("_done"))
-        waiting = now.filter("NOT done").join(back, "head").select("unit", "u", "v", (F.col("step").cast("long") + F.col("_step")).alias("step"), F.col("_head").alias("head"), F.col("_done").alias("done"))
-        moved = cut(now.filter("done").unionByName(waiting))
-        still = moved.filter("NOT done").count()
+    """u, v, edge_id, copy, start (of the node it leads to) and n_in (how many units lead there) of each unit; ``edges`` (edge_id, u, v, flow)."""
+    start, some = nodes.select(F.col("node_id").alias("v"), "start_frame"), edges.filter("flow > 0").select("edge_id", "u", "v", F.col("flow").cast("int").alias("flow"))
+    there = some.filter("NOT v <=> 'SINK'").join(start.filter("v <> 'SINK'"), "v", "left").withColumn("n_in", F.sum("flow").over(Window.partitionBy("v")))
+    # a great part leads to SINK, so these do not go to one task
+    sunk = some.filter("v = 'SINK'").join(F.broadcast(start.filter("v = 'SINK'")), "v", "left").withColumn("n_in", F.lit(0).cast("long"))
+    late = F.coalesce("start_frame", F.lit(LATE)).cast("long").alias("start")
+    return there.unionByName(sunk).select("u", "v", "edge_id", F.explode(F.sequence(F.lit(1), F.col("flow"))).alias("copy"), late, "n_in")
+
+
+def runs(slots: DataFrame) -> DataFrame | None:
+    """node, edge_id, v, n_in: units that alone leave a node which one unit alone enters; (u, i): the first unit of their run, ``step``: their
+    place in it (from 1). None if there are none."""
+    alone = slots.filter("n_out = 1 AND u <> 'SOURCE'").select(F.col("u").alias("node"), "edge_id", "v", "n_in")
+    into = slots.filter("n_in = 1 AND v <> 'SINK'").select(F.col("v").alias("node"), "u", "i")
+    inner = cut(alone.join(into, "node"))
+    if inner.isEmpty():
+        return None
+    plain = inner.select(F.col("node").alias("u"), F.lit(True).alias("_plain"))
+    now = inner.select("node", "u", "i").join(plain, "u", "left").select("node", "u", "i", F.lit(1).cast("long").alias("step"), F.col("_plain").isNull().alias("done"))
+    now, finished, open_ = cut(now), [], -1
+    while True:  # each node points 2 ** j units back, or to its run's first unit
+        back = now.select(F.col("node").alias("u"), F.col("u").alias("_u"), F.col("i").alias("_i"), F.col("step").alias("_step"), F.col("done").alias("_done"))
+        finished.append(now.filter("done"))
+        known = back if len(finished) == 1 else back.unionByName(reduce(DataFrame.unionByName, finished[:-1]).select(F.col("node").alias("u"), F.col("u").alias("_u"), F.col("i").alias("_i"), F.col("step").alias("_step"), F.lit(True).alias("_done")))
+        now = cut(now.filter("NOT done").join(known, "u").select("node", F.col("_u").alias("u"), F.col("_i").alias("i"), (F.col("step") + F.col("_step")).alias("step"), F.col("_done").alias("done")))
+        still = now.filter("NOT done").count()
         if still in (0, open_):  # of a run, some units get done each time; what stays open is rings, which no path enters
-            return moved.filter("done").drop("done")
+            finished.append(now.filter("done"))
+            return reduce(DataFrame.unionByName, finished).join(inner.select("node", "edge_id", "v", "n_in"), "node")
         open_ = still
-        now = moved
 
 
-def _matched(coming: DataFrame, leaving: DataFrame, hints: DataFrame | None) -> DataFrame:
-    """unit and label: at each node, in the order of the labels, its hinted unit if it is free, else the first free one."""
-    i = lambda order: F.row_number().over(Window.partitionBy("node").orderBy(order))
-    if hints is None:
-        return coming.withColumn("i", i("label")).join(leaving.withColumn("i", i("unit")), ["node", "i"]).select("unit", "label", "steps")
+def _hinted(ready: DataFrame, slots: DataFrame, hints: DataFrame) -> DataFrame:
+    """node, path, steps and i: at each node, in the order of the paths, its hinted unit if it is free, else the first free one."""
     wish = hints.groupBy(F.col("node"), F.col("in_edge")).agg(F.min("out_edge").alias("wish"))
-    come = coming.join(wish, ["node", "in_edge"], "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("label", "steps", "wish"))).alias("coming"))
-    both = come.join(leaving.groupBy("node").agg(F.array_sort(F.collect_list("unit")).alias("free")), "node")  # a node's units, its capacity at most
-    blank = F.filter(F.transform("free", lambda x: F.struct(x.alias("unit"), F.col("coming")[0]["label"].alias("label"), F.lit(0).cast("long").alias("steps"))), lambda x: F.lit(False))
+    come = ready.join(wish, ["node", "in_edge"], "left").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("path", "steps", "wish"))).alias("coming"))
+    both = come.join(slots.groupBy(F.col("u").alias("node")).agg(F.array_sort(F.collect_list(F.struct("i", "edge_id"))).alias("free")), "node")  # a node's units, its capacity at most
+    blank = F.filter(F.transform("free", lambda x: F.struct(x["i"].alias("i"), F.col("coming")[0]["path"].alias("path"), F.lit(0).cast("long").alias("steps"))), lambda x: F.lit(False))
 
     def take(acc: Column, c: Column) -> Column:
         wished = F.filter(acc["free"], lambda x: x["edge_id"] == c["wish"])
         one = F.when(F.size(wished) > 0, F.get(wished, F.lit(0))).otherwise(F.get(acc["free"], F.lit(0)))
-        got = F.concat(acc["got"], F.when(F.size(acc["free"]) > 0, F.array(F.struct(one.alias("unit"), c["label"].alias("label"), c["steps"].alias("steps")))).otherwise(blank))
+        got = F.concat(acc["got"], F.when(F.size(acc["free"]) > 0, F.array(F.struct(one["i"].alias("i"), c["path"].alias("path"), c["steps"].alias("steps")))).otherwise(blank))
         return F.struct(F.filter(acc["free"], lambda x: x != one).alias("free"), got.alias("got"))
 
     done = F.aggregate("coming", F.struct(F.col("free"), blank.alias("got")), take, lambda acc: acc["got"])
-    return both.select(F.explode(done).alias("m")).select("m.*")
+    return both.select("node", F.explode(done).alias("m")).select("node", "m.*")
 
 
 def paths(nodes: DataFrame, edges: DataFrame, hints: DataFrame | None = None) -> DataFrame:
@@ -90,28 +96,53 @@ def paths(nodes: DataFrame, edges: DataFrame, hints: DataFrame | None = None) ->
     ``nodes`` (node_id, start_frame), ``edges`` (edge_id, u, v, flow), ``hints`` (node, in_edge, out_edge): which edge to leave a node
     by after coming in by another.
     """
-    all_runs = runs(units(nodes, edges))
-    # of each run: the node it leaves, the one it comes to, the edge it comes by, and its length
-    last = all_runs.groupBy("head").agg(F.max_by(F.struct("v", F.col("unit.edge_id").alias("in_edge"), F.col("step").alias("last")), "step").alias("e"))
-    run = cut(all_runs.filter("step = 0").select("head", "u").join(last, "head").select("head", "u", F.col("e.v").alias("v"), F.col("e.in_edge").alias("in_edge"), (F.col("e.last") + 1).cast("long").alias("length")))
-    expected = run.groupBy(F.col("v").alias("node")).agg(F.count("*").alias("n_in"))
-    leaving = run.select(F.col("u").alias("node"), F.col("head").alias("unit"))
-    front = cut(run.filter("u = 'SOURCE'").select("head", F.col("head").alias("label"), F.lit(0).cast("long").alias("before")))
-    found, arrived = [front], None
+    spark, order = nodes.sparkSession, ["start", "edge_id", "copy"]
+    every = cut(units(nodes, edges))
+    kept = ["u", "i", "edge_id", "v", "n_in"]
+    # those that leave SOURCE are numbered over all tasks: their numbers are those of the paths
+    first = cut(numbered(every.filter("u = 'SOURCE'"), *order).withColumnRenamed("number", "i").select(*kept))
+    by_u = Window.partitionBy("u")
+    later = every.filter("u <> 'SOURCE'").withColumn("i", F.row_number().over(by_u.orderBy(*order)).cast("long")).withColumn("n_out", F.count("*").over(by_u)).select(*kept, "n_out")
+    later = cut(later)
+    inner = runs(later.unionByName(first.withColumn("n_out", F.lit(0).cast("long"))))
+    # of each first unit of a run that goes on: where the run ends, by which edge, and its length
+    if inner is None:
+        with_end = lambda df, dealt=lambda x: x: dealt(df).select("u", "i", "edge_id", "v", "n_in", *(F.lit(None).cast(t).alias(c) for c, t in (("end", "string"), ("by", "string"), ("length", "long"))))
+    else:
+        last = inner.groupBy("u", "i").agg(F.max_by(F.struct(F.col("v").alias("end"), F.col("edge_id").alias("by"), F.col("n_in").alias("end_in"), (F.col("step") + 1).alias("length")), "step").alias("e")).select("u", "i", "e.*")
+        with_end = lambda df, dealt=lambda x: x: dealt(df).join(dealt(last), ["u", "i"], "left").select("u", "i", "edge_id", "v", F.coalesce("end_in", "n_in").alias("n_in"), "end", "by", "length")
+    buckets = max(spark.sparkContext.defaultParallelism, -(-later.count() // 500_000))
+    dealt = lambda df: df.repartition(buckets, "u", "i")
+    name = f"units_{uuid.uuid4().hex}"
+    with_end(later, dealt).write.bucketBy(buckets, "u", "i").sortBy("u", "i").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    slots = spark.table(name)
+    fresh = cut(with_end(first).select(F.col("i").alias("path"), F.lit(0).cast("long").alias("step"), "*"))
+    found, waiting = [fresh], None
     while True:
-        came = front.join(run, "head").filter("v <> 'SINK'").select(F.col("v").alias("node"), "in_edge", "label", (F.col("before") + F.col("length")).alias("steps"))
-        arrived = cut(came if arrived is None else arrived.unionByName(came))
-        whole = arrived.groupBy("node").agg(F.count("*").alias("n")).join(expected, "node").filter("n = n_in").select("node")
-        ready = arrived.join(whole, "node", "left_semi")
-        front = cut(_matched(ready, leaving.join(whole, "node", "left_semi"), hints).select(F.col("unit").alias("head"), "label", F.col("steps").alias("before")))
-        if front.isEmpty():
+        came = fresh.select(F.coalesce("end", "v").alias("node"), "n_in", F.coalesce("by", "edge_id").alias("in_edge"), "path", (F.col("step") + F.coalesce("length", F.lit(1))).alias("steps")).filter("node <> 'SINK'")
+        came = came if hints is not None else came.drop("in_edge")
+        arrived = came if waiting is None else came.unionByName(waiting)
+        at = Window.partitionBy("node")
+        here = arrived.withColumn("_n", F.count("*").over(at)).withColumn("i", F.row_number().over(at.orderBy("path")).cast("long"))
+        if hints is None:  # whoever waits for others gets a number that no unit has
+            ready = here.withColumn("i", F.when(F.col("_n") == F.col("n_in"), F.col("i")).otherwise(-F.col("i"))).withColumn("in_edge", F.lit(None).cast("string"))
+        else:
+            ready = _hinted(here.filter("_n = n_in"), slots, hints).unionByName(here.filter("_n <> n_in").withColumn("i", -F.col("i")), allowMissingColumns=True)
+        ready = dealt(ready.select(F.col("node").alias("u"), "i", "path", F.col("steps").alias("step"), F.col("n_in").alias("_in"), F.col("in_edge").alias("_by")))
+        met = ready.join(slots, ["u", "i"], "left").filter("i < 0 OR edge_id IS NOT NULL")
+        round_ = cut(met.select("path", "step", "u", "i", "edge_id", "v", F.when(F.col("i") < 0, F.col("_in")).otherwise(F.col("n_in")).alias("n_in"), "end", F.when(F.col("i") < 0, F.col("_by")).otherwise(F.col("by")).alias("by"), "length"))
+        fresh = round_.filter("i > 0")
+        if fresh.isEmpty():
             break
-        found.append(front)
-        arrived = arrived.join(whole, "node", "left_anti")
+        found.append(fresh)
+        waiting = round_.filter("i < 0").select(F.col("u").alias("node"), "n_in", *[F.col("by").alias("in_edge")] * (hints is not None), "path", F.col("step").alias("steps"))
+    spark.sql(f"DROP TABLE {name}")
     taken = reduce(DataFrame.unionByName, found)
-    firsts = numbered(run.filter("u = 'SOURCE'").select(F.col("head").alias("label")), "label").withColumnRenamed("number", "path")
-    steps = all_runs.join(taken, "head").join(firsts, "label")
-    return steps.select("path", (F.col("before") + F.col("step")).alias("step"), F.col("unit.edge_id").alias("edge_id"), "u", "v")
+    steps = taken.select("path", "step", "edge_id", "u", "v")
+    if inner is None:
+        return steps
+    within = taken.filter("length > 1").select("u", "i", "path", F.col("step").alias("_before")).join(inner.withColumnRenamed("step", "_step"), ["u", "i"])
+    return steps.unionByName(within.select("path", (F.col("_before") + F.col("_step")).alias("step"), "edge_id", F.col("node").alias("u"), "v"))
 
 
 def person_spans(steps: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -200,3 +200,25 @@ def test_errors_of_cameras_are_made_once(spark):
     errors = spark.range(40).select(F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("camera_id"), F.lit("e").alias("edge"), F.udf(counted, "double")(F.col("id").cast("double")).alias("error_m"))
     assert [tuple(r) for r in cameras.pair_agreement(errors).collect()] == [("c0", "c1", 1, 40, 19.5, 37.05, 39.0)]
     assert made.value == 40
+
+
+def test_a_round_of_a_flow_shuffles_what_has_arrived_only(spark, monkeypatch):
+    from motionspark.operators import flow_paths
+
+    plans, real = [], flow_paths.cut
+    monkeypatch.setattr(flow_paths, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString().splitlines()) or real(df))
+    legs = [(a, b) for i in range(3) for j in range(4) for k in range(4) for a, b in [(f"n{i}.{j}", f"n{i + 1}.{k}")]]
+    legs += [("SOURCE", f"n0.{j}") for j in range(4)] + [(f"n3.{j}", "SINK") for j in range(4)]
+    edges = [(f"{u}>{v}", u, v, 4 if u == "SOURCE" or v == "SINK" else 1) for u, v in legs]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = flow_paths.paths(spark.createDataFrame([(v, 1) for _, v in legs if v != "SINK"], "node_id string, start_frame long").distinct(), spark.createDataFrame(edges, "edge_id string, u string, v string, flow long"))
+        assert got.count() == 5 * 16
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rounds = [p for p in plans if any("Bucketed: true" in line for line in p)]
+    assert len(rounds) == 5  # four layers of nodes, and one round in which nobody is left
+    for p in rounds:
+        table = p[next(i for i, line in enumerate(p) if "Join" in line) :]
+        table = table[max(i for i, line in enumerate(table) if "Exchange" in line) + 1 :]
+        assert any("Bucketed: true" in line for line in table)  # nothing is shuffled between the table of units and the join
