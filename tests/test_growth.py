@@ -222,3 +222,32 @@ def test_a_round_of_a_flow_shuffles_what_has_arrived_only(spark, monkeypatch):
         table = p[next(i for i, line in enumerate(p) if "Join" in line) :]
         table = table[max(i for i, line in enumerate(table) if "Exchange" in line) + 1 :]
         assert any("Bucketed: true" in line for line in table)  # nothing is shuffled between the table of units and the join
+
+
+def test_edges_of_components_are_contracted_before_they_are_shuffled(spark, monkeypatch):
+    from motionspark.operators import graph
+
+    rows, real = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: rows.append((out := real(df)).count()) or out)
+    rng = random.Random(6)
+    edges = [(f"p{c}.{rng.randrange(20)}", f"s{c}.{rng.randrange(20)}") for c in range(3) for _ in range(2000)] + [("x", "x"), ("y", None)]
+    got = graph.components(spark.createDataFrame(edges, "src string, dst string").coalesce(1)).collect()
+    assert max(rows) < 200 and sum(rows) < 1000
+    parts = {n: min(x for x in {s for e in edges for s in e if s} if x[1:2] == n[1:2]) for e in edges for n in e if n}
+    assert sorted((str(r.node), r.component) for r in got) == sorted([*((n, p) for n, p in parts.items() if n not in "xy"), ("x", "x"), ("y", "y"), ("None", None)], key=lambda t: t[0])
+
+
+def test_least_nodes_of_one_task():
+    import numpy as np
+
+    from motionspark.operators import graph
+
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 1), (50, 30), (200, 150), (200, 400)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b, strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert graph._least(a, b, n).tolist() == want
+    assert graph._least(np.arange(99), np.arange(1, 100), 100).tolist() == [0] * 100
