@@ -142,3 +142,56 @@ def nearest_and_near(who: np.ndarray, x: np.ndarray, y: np.ndarray, radius: floa
         dist[rows], near[rows] = np.fmin.reduce(dist[rows]), near[rows].sum()
     alone = times[name] == len(x)
     return [None if a else float(d) for a, d in zip(alone, dist, strict=True)], near
+
+
+def first_within(there: tuple[np.ndarray, ...], asking: tuple[np.ndarray, ...], radius: float, nearest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows of ``asking`` have a row of ``there`` of another name within ``radius``, and name and distance of the first: by distance,
+    then name, or (not ``nearest``) by name, then distance. Both sides: names (numbers), x and y; places without end meet nothing.
+    """
+    name, x, y = (v[np.isfinite(there[1]) & np.isfinite(there[2])] for v in there)
+    order = np.lexsort((name, y, x))
+    name, x, y = name[order], x[order], y[order]
+    new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])[: len(x)]
+    other = new | np.concatenate([[True], name[1:] != name[:-1]])[: len(x)]
+    name, x, y, new = name[other], x[other], y[other], new[other]
+    # of the names at one place only the two least can be first for anybody
+    kept = new | np.concatenate([[True], new[:-1]])[: len(x)]
+    name, x, y = name[kept], x[kept], y[kept]
+    ask = np.flatnonzero(np.isfinite(asking[1]) & np.isfinite(asking[2]))
+    none = np.zeros(0, np.int64)
+    if not len(x) or not len(ask):
+        return none, none, np.zeros(0)
+    size = radius * (1 + 1e-6) or 1.0
+    cell = lambda v: np.clip(np.floor(v / size), -(2**30), 2**30).astype(np.int64)
+    low = min(cell(y).min(), cell(asking[2][ask]).min()) - 1
+    rows = max(cell(y).max(), cell(asking[2][ask]).max()) + 2 - low
+    key = cell(x) * rows + cell(y) - low
+    order = np.argsort(key, kind="stable")
+    key, name, x, y = key[order], name[order], x[order], y[order]
+    own = cell(asking[1][ask]) * rows + cell(asking[2][ask]) - low
+    beside = (own[:, None] + rows * np.arange(-1, 2)).reshape(-1)  # three columns of cells, each a range of keys
+    low, high = np.searchsorted(key, beside - 1, "left"), np.searchsorted(key, beside + 1, "right")
+    hits, firsts, dists = [none], [none], [np.zeros(0)]
+    total = np.cumsum((high - low).reshape(-1, 3).sum(axis=1))
+    done = 0
+    while done < len(ask):
+        stop = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + (1 << 20), "right")))
+        part = slice(3 * done, 3 * stop)
+        width = high[part] - low[part]
+        which = np.repeat(np.arange(len(width)), width)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(width) - width, width) + low[part][which]
+        who = ask[done + which // 3]
+        dist = _distance(x[at] - asking[1][who], y[at] - asking[2][who])
+        ok = (dist <= radius) & (name[at] != asking[0][who])
+        who, dist, given = who[ok], dist[ok], name[at[ok]]
+        if len(who):
+            for by_distance in (nearest, not nearest):
+                by, start = dist if by_distance else given, np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                first = by == np.repeat(np.minimum.reduceat(by, start), np.diff(np.append(start, len(who))))
+                who, dist, given = who[first], dist[first], given[first]
+            start = np.concatenate([[True], who[1:] != who[:-1]])
+            hits.append(who[start])
+            firsts.append(given[start])
+            dists.append(dist[start])
+        done = stop
+    return np.concatenate(hits), np.concatenate(firsts), np.concatenate(dists)
